@@ -47,6 +47,24 @@ def _seed_at(hashes: Column, mask: Sequence[int], number: int):
     return lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(number), *(F.get(hashes, i + o) for o in mask)).alias("seed"))
 
 
+def _best(window: int) -> Column:
+    """Over all diagonals of a pair, the most equal tokens in a window; a window may hang over the document's edge."""
+
+    def along(d: Column) -> Column:
+        m, n = F.size("item_tokens"), F.size("doc_tokens")
+        begin, end = F.greatest(F.lit(0), -d), F.least(m, n - d)
+        same = F.zip_with(F.slice("item_tokens", begin + 1, end - begin), F.slice("doc_tokens", begin + d + 1, end - begin), lambda a, b: (a == b).cast("int"))
+        width = F.least(F.lit(window), m)
+
+        def widest(s: Column) -> Column:
+            total = lambda i: F.aggregate(F.slice(s, i, width), F.lit(0), lambda a, x: a + x)
+            return F.array_max(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(s) - width + 1)), total))
+
+        return F.get(F.transform(F.array(same), widest), 0)  # an array of one: `same` is computed once
+
+    return F.array_max(F.transform("diagonals", along))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, masks: Sequence[Sequence[int]] = MASKS, window: int = 20, share: float = 0.8, least: int = 5) -> DataFrame:
     """Pairs (doc_id, item_id) with matched (equal tokens of the best window), compared (its length) and share."""
     hashed = lambda c: F.transform(c, lambda t: F.xxhash64(t))
@@ -63,20 +81,13 @@ def contaminated(docs: DataFrame, items: DataFrame, masks: Sequence[Sequence[int
     hits = found.join(F.broadcast(own) if small else own, "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
     hits = C.stage(hits, "hits")
 
-    grouped = hits.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "diagonal")).alias("hits"))  # the hits of one text
+    grouped = hits.groupBy("doc_id", "item_id").agg(F.collect_set("diagonal").alias("diagonals"))  # at most one text's places
     few = hits.count() <= BROADCAST_ROWS
-    named = docs.withColumnRenamed("doc_id", "id").join(F.broadcast(grouped) if few else grouped, F.col("id").eqNullSafe(F.col("doc_id")))
-    rows = named.select("doc_id", tokens(F.col("text")).alias("doc_tokens"), "hits")
-    rows = rows.select("doc_id", F.explode("hits").alias("hit"), "doc_tokens")
-    pairs = rows.join(F.broadcast(items) if items.count() <= 100_000 else items, F.col("hit.item_id").eqNullSafe(F.col("item_id")))
-    d, m, n = F.col("hit.diagonal"), F.size("item_tokens"), F.size("doc_tokens")
-    begin, end = F.greatest(F.lit(0), -d), F.least(m, n - d)
-    same = F.zip_with(F.slice("item_tokens", begin + 1, end - begin), F.slice("doc_tokens", begin + d + 1, end - begin), lambda a, b: (a == b).cast("int"))
-    pairs = pairs.select("doc_id", "item_id", same.alias("same"), F.least(F.lit(window), m).alias("compared"))
-    # a window may hang over the document's edge: what is missing there does not agree
-    total = lambda i: F.aggregate(F.slice("same", i, F.col("compared")), F.lit(0), lambda a, x: a + x)
-    best = F.array_max(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("same") - F.col("compared") + 1)), total))
-    pairs = pairs.select("doc_id", "item_id", best.alias("matched"), "compared").filter(F.col("matched") >= F.lit(share) * F.col("compared"))
+    named = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(grouped) if few else grouped, F.col("id").eqNullSafe(F.col("doc_id")))
+    rows = named.select("doc_id", F.col("item_id").alias("of"), "diagonals", tokens(F.col("text")).alias("doc_tokens"))
+    pairs = rows.join(F.broadcast(items) if items.count() <= 100_000 else items, F.col("of").eqNullSafe(F.col("item_id")))
+    pairs = pairs.select("doc_id", "item_id", _best(window).alias("matched"), F.least(F.lit(window), F.size("item_tokens")).alias("compared"))
+    pairs = pairs.filter(F.col("matched") >= F.lit(share) * F.col("compared"))
     out = pairs.groupBy("doc_id", "item_id").agg(F.max("matched").cast("long").alias("matched"), F.max("compared").cast("long").alias("compared"))
     return out.withColumn("share", F.col("matched") / F.col("compared"))
 
