@@ -5,11 +5,11 @@ slot a rank; coordinate k is the least rank when the second permutation is shift
 shingle are one contiguous slice of the rank table, so a signature is a minimum over slices.
 
 Plan: exact copies (equal sets) first become one class by hash aggregation. Classes that share a band of the signature meet
-in a bucket. Buckets are settled by rounds: some members, those met most often first, are compared with all others of the
-bucket that are not yet in their component; every comparison is verified on full shingle sets; links are contracted to components;
-centres leave the bucket. Rounds go on until no bucket holds two components, so no verified link between
-components of a bucket is lost, though pairs inside one component are never compared. A bucket of any size costs a few
-rows per member and round, never all its pairs at once; skewed keys are joined by sort-merge, which AQE splits.
+in a bucket. Of each bucket, the member met most often over all buckets (the likely original of a family) is compared with
+all others; the links are contracted to components. Buckets that still hold several components are then compared in
+full, as blocks against blocks: a task gets two blocks of at most some 128 sets and finds all links between them by one
+matrix product, so no row is ever made for a pair, and a bucket of any size is many tasks. Every link is verified on full
+sets. A bucket inside one component needs no more comparisons, for its pairs could add no component.
 
 Recall: with 30 bands of 6 rows a pair at similarity 0.85 misses every band with probability 7e-7 (0.8: 9e-5 for the default of
 5-word shingles, which uses 5 rows and 40 bands: 1e-7).
@@ -103,22 +103,91 @@ def sketches(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, hi long, lo long, keys array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def shingled(docs: DataFrame, k: int) -> DataFrame:
+    """(rep, s): the full set of each text as 8-byte hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield C.arrow_rows(rep=batch.column("doc_id"), s=pa.array([x.tobytes() for x in shingle_sets(batch.column("text"), k)], pa.binary()))
+
+    return docs.select("doc_id", "text").mapInArrow(run, "rep long, s binary")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for x, y in zip(shingle_sets(batch.column("ta"), k), shingle_sets(batch.column("tb"), k), strict=True):
+            for p, q in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
+                x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
                 both = 0
                 if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
                     both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
+                ok.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    left = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    side = lambda c: sets.select(F.col("rep").alias(c), F.col("s").alias(f"s{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def common_sizes(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of left with right sets, by matrix products over slices of the common elements."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    x, y = np.concatenate(left), np.concatenate(right)
+    names = np.intersect1d(x, y)
+    rows, cols = (np.repeat(np.arange(len(z)), [len(e) for e in z]) for z in (left, right))
+    ix, iy = np.searchsorted(names, x), np.searchsorted(names, y)
+    okx, oky = names[np.minimum(ix, len(names) - 1)] == x if len(names) else np.zeros(len(x), bool), names[np.minimum(iy, len(names) - 1)] == y if len(names) else np.zeros(len(y), bool)
+    ix, rows, iy, cols = ix[okx], rows[okx], iy[oky], cols[oky]
+    for lo in range(0, len(names), 8192):
+        a = np.zeros((len(left), min(8192, len(names) - lo)), np.float32)
+        b = np.zeros((len(right), a.shape[1]), np.float32)
+        own = (ix >= lo) & (ix < lo + 8192)
+        a[rows[own], ix[own] - lo] = 1
+        own = (iy >= lo) & (iy < lo + 8192)
+        b[cols[own], iy[own] - lo] = 1
+        out += a @ b.T
+    return out.astype(np.int64)
+
+
+def settled_in_blocks(rest: DataFrame, sets: DataFrame, percent: int, block: int = 128) -> DataFrame:
+    """Links (a, b) of the buckets rest (key, rep, c: component): all pairs of a bucket are compared, block by block.
+
+    Of the links of two blocks only those are returned that join components which no other returned link joins.
+    """
+    sizes = rest.groupBy("key").agg(F.count("*").alias("n"))
+    dealt = rest.join(sizes, "key").withColumn("n_blocks", F.ceil(F.col("n") / block)).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")))
+    rows = dealt.select("key", "block", "rep", "c").join(sets, "rep")
+    blocks = C.stage(rows.groupBy("key", "block").agg(F.collect_list(F.struct("rep", "c", "s")).alias("members")), "blocks")
+    side = lambda n: blocks.select("key", F.col("block").alias(n))
+    whom = side("i").join(side("j"), "key").filter("i <= j")
+    get = lambda n, m: blocks.select("key", F.col("block").alias(n), F.col("members").alias(m))
+    meets = whom.join(get("i", "left"), ["key", "i"]).join(get("j", "right"), ["key", "j"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                (ra, ca, sa), (rb, cb, sb) = (([m["rep"] for m in x], [m["c"] for m in x], [np.frombuffer(m["s"], np.uint64) for m in x]) for x in (batch.column("left")[n].as_py(), batch.column("right")[n].as_py()))
+                la, lb = np.array([len(x) for x in sa]), np.array([len(x) for x in sb])
+                both = common_sizes(sa, sb)
+                hit = (100 * both >= percent * (la[:, None] + lb[None, :] - both)) & (both > 0)
+                hit &= np.array(ca)[:, None] != np.array(cb)[None, :]
+                root: dict[int, int] = {}
+                out = []
+                for i, j in zip(*np.nonzero(hit), strict=True):
+                    p, q = ca[i], cb[j]
+                    while root.get(p, p) != p:
+                        p = root[p]
+                    while root.get(q, q) != q:
+                        q = root[q]
+                    if p != q:
+                        root[max(p, q)] = min(p, q)
+                        out.append((ra[i], rb[j]))
+                yield C.arrow_rows(a=pa.array([x for x, _ in out], pa.int64()), b=pa.array([y for _, y in out], pa.int64()))
+
+    # few rows a batch: each holds two blocks of sets
+    return meets.select("left", "right").repartition(max(8, int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -154,31 +223,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     live = C.stage(members.join(shared, "key"), "live")  # (key, rep, n) of buckets with two members or more
     met = live.groupBy("rep").agg(F.sum("n").alias("met"))
     live = C.stage(live.join(met, "rep").select("key", "rep", "met"), "live")
-    # rows of one doc_id with differing texts are one document
-    links = None
     comp = None
-    centres_a_round = 1
     if not live.isEmpty():
-        texts = C.stage(docs.join(met.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text").distinct(), "texts")
-        while True:
-            slot = F.pmod(F.xxhash64("rep"), F.lit(centres_a_round))
-            first = live.groupBy("key", slot.alias("slot")).agg(F.max(F.struct("met", (-F.col("rep")).alias("minus"))).alias("top"))
-            centres = C.stage(first.select("key", (-F.col("top.minus")).alias("centre")), "centres")
-            pairs = live.join(centres, "key").filter("rep <> centre")
-            if comp is not None:
-                of = lambda c: comp.select(F.col("rep").alias(c), F.col("comp").alias(f"{c}_comp"))
-                pairs = pairs.join(of("rep"), "rep", "left").join(of("centre"), "centre", "left").filter("coalesce(rep_comp, rep) <> coalesce(centre_comp, centre)")
-            pairs = pairs.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-            found = C.stage(verified(pairs, texts, k, percent).distinct(), "links")
-            links = found if links is None else links.unionByName(found)
-            comp = C.stage(components(links), "components")
-            rest = live.join(centres.select("key", F.col("centre").alias("rep")), ["key", "rep"], "left_anti")
-            label = rest.join(comp, "rep", "left").select("key", F.coalesce("comp", "rep").alias("c"))
-            torn = label.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
-            live = C.stage(rest.join(torn, "key", "left_semi"), "live")
-            if live.isEmpty():
-                break
-            centres_a_round = min(64, 4 * centres_a_round)
+        sets = C.stage(shingled(docs.join(met.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), k).distinct(), "sets")
+        top = live.groupBy("key").agg(F.max(F.struct("met", (-F.col("rep")).alias("minus")))["minus"].alias("minus"))
+        pairs = live.join(top.select("key", (-F.col("minus")).alias("centre")), "key").filter("rep <> centre")
+        pairs = pairs.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
+        links = C.stage(verified(pairs, sets, percent), "links")
+        comp = C.stage(components(links), "components")
+        label = C.stage(live.join(comp, "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("c")), "labels")
+        # a bucket of two has been compared; one inside a component is settled
+        torn = label.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).filter("lo <> hi AND n > 2").select("key")
+        rest = C.stage(label.join(torn, "key", "left_semi"), "rest")
+        if not rest.isEmpty():
+            comp = C.stage(components(links.unionByName(C.stage(settled_in_blocks(rest, sets, percent), "links"))), "components")
     named = classes.select("hi", "lo", "rep")
     if comp is not None:
         named = named.join(comp, "rep", "left").select("hi", "lo", F.coalesce("comp", "rep").alias("component"))
