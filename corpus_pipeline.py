@@ -1,18 +1,25 @@
-"""The corpus pipeline: stages from raw documents to a training mix."""
+"""The corpus pipeline: quality, near-duplicates, decontamination, PII, mixing. Every stage works on all that the one before kept."""
 
 from __future__ import annotations
 
 from gridscribe.llm import common as C
-from gridscribe.llm import mixing
+from gridscribe.llm import decontam, minhash, mixing, pii, quality
 
-STAGES = [("mixing", mixing.mixing_stage)]
+#: (name, function of (spark, docs, sf_dir)). Each result is written as Parquet and read again as the next one's docs.
+STAGES = [
+    ("quality", quality.quality_stage),
+    ("near_dedup", minhash.dedup_stage),
+    ("decontamination", decontam.decontam_stage),
+    ("pii", pii.pii_stage),
+    ("mixing", mixing.mixing_stage),
+]
+
+#: The field and the surrogates can't be told in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
     docs = C.table(spark, sf_dir, "documents")
-    for k, (name, step) in enumerate(STAGES):
-        docs = step(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = C.stage(docs, f"pipeline-{name}")
-    return docs
+    for name, step in STAGES[:-1]:
+        docs = C.stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
