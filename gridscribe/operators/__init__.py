@@ -1 +1 @@
-
+"""Operators over table sets, passages, runs and vectors."""

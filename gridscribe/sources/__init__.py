@@ -1 +1 @@
-
+"""Readers and writers of tables, passages, questions, labels, runs and metadata."""
