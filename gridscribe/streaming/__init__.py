@@ -1 +1 @@
-
+"""Incremental serialization of arriving tables."""
