@@ -130,11 +130,12 @@ def suffix_tree(grams: DataFrame, depth: int, gain: float, max_states: int) -> A
         kl = joined.groupBy("ctx").agg(F.sum("n").alias("of"), F.sum(F.col("n") * (F.log("n") - F.col("lp"))).alias("s"))
         kl = kl.select(F.lit(d).alias("d"), "ctx", F.round(F.col("s") - F.col("of") * F.log("of"), 6).alias("gain")).filter(F.col("gain") >= gain)
         tested = kl if tested is None else tested.unionByName(kl)
-    best = tested.orderBy(F.desc("gain"), "d", "ctx").limit(max_states).collect()
+    # at most max_states rows, as Arrow columns: row objects would take the driver many times the memory
+    best = tested.orderBy(F.desc("gain"), "d", "ctx").limit(max_states).select("d", "ctx").toArrow()
     states: list[set[int]] = [set() for _ in range(depth + 1)]
     states[0].add(0)
-    for r in best:
-        states[r["d"]].add(r["ctx"])
+    for d, c in zip(best["d"].to_pylist(), best["ctx"].to_pylist(), strict=True):
+        states[d].add(c)
     retained = [set(s) for s in states]
     for d in range(depth, 0, -1):  # suffixes and prefixes of states are states
         for c in states[d]:
@@ -144,8 +145,9 @@ def suffix_tree(grams: DataFrame, depth: int, gain: float, max_states: int) -> A
     counts = {}
     for d in range(depth + 1):
         own = spark.createDataFrame([(c,) for c in sorted(retained[d])] or [(-1,)], "ctx long")
-        counts[d] = level[d].join(F.broadcast(own), "ctx").toPandas()  # at most max_states contexts by 256 symbols
-    seen = np.sort(counts[0]["x"].to_numpy(np.int64))
+        rows = level[d].join(F.broadcast(own), "ctx").select("ctx", "x", "n").toArrow()  # at most max_states contexts by 256 symbols
+        counts[d] = {c: rows[c].to_numpy().astype(np.int64) for c in ("ctx", "x", "n")}
+    seen = np.sort(counts[0]["x"])
     classes = np.full(256, len(seen), np.int64)
     classes[seen] = np.arange(len(seen))
     width = len(seen) + 2  # the seen bytes, any other byte, no symbol
@@ -154,7 +156,7 @@ def suffix_tree(grams: DataFrame, depth: int, gain: float, max_states: int) -> A
     step = np.zeros((base[-1], width), np.int64)
     prob = np.ones((base[-1], width))
     n0 = np.zeros(width)
-    n0[classes[counts[0]["x"].to_numpy(np.int64)]] = counts[0]["n"]
+    n0[classes[counts[0]["x"]]] = counts[0]["n"]
     prob[0] = (n0 + 1) / (n0.sum() + 257)
     for d in range(depth + 1):
         own = slice(base[d], base[d + 1])
@@ -162,10 +164,10 @@ def suffix_tree(grams: DataFrame, depth: int, gain: float, max_states: int) -> A
             parent = base[d - 1] + np.searchsorted(codes[d - 1], codes[d] & (1 << 8 * (d - 1)) - 1)
             step[own], prob[own] = step[parent], prob[parent]
             t = counts[d]
-            if len(t):
-                row = base[d] + np.searchsorted(codes[d], t["ctx"].to_numpy(np.int64))
+            if len(t["n"]):
+                row = base[d] + np.searchsorted(codes[d], t["ctx"])
                 n = np.zeros((base[d + 1] - base[d], width))
-                n[row - base[d], classes[t["x"].to_numpy(np.int64)]] = t["n"]
+                n[row - base[d], classes[t["x"]]] = t["n"]
                 of, kinds = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True)
                 has = of[:, 0] > 0
                 prob[own][has] = ((n + kinds * prob[own]) / np.maximum(1, of + kinds))[has]
@@ -219,8 +221,8 @@ def score(docs: DataFrame, model: Automaton, words: DataFrame, n: int, v: int, e
     """One row per row of docs (doc_id, held_out, text): the counts and scores of the contract."""
     spark = docs.sparkSession
     C.bound_batches(spark)
-    top = words.orderBy(F.desc("c"), "key").limit(hot).toPandas().sort_values("key")  # a fixed number of words
-    key, count = top["key"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
+    top = words.orderBy(F.desc("c"), "key").limit(hot).toArrow().sort_by("key")  # a fixed number of words
+    key, count = (top[c].to_numpy().astype(np.int64) for c in ("key", "c"))
     shared = spark.sparkContext.broadcast((model, key, count))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
