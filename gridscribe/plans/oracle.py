@@ -110,6 +110,20 @@ def _soft(source: str, t: float) -> str:
     return f"SELECT qid, p_id, score, score / {t} - max(score / {t}) OVER w - ln(sum(exp(score / {t} - m)) OVER w) AS lp FROM (SELECT *, max(score / {t}) OVER (PARTITION BY qid) AS m FROM {source}) WINDOW w AS (PARTITION BY qid)"
 
 
+def _draw(salt: str) -> str:
+    return f"('0x' || substr(md5(table_id || '|' || row || '|{salt}'), 1, 7))::BIGINT"
+
+
+_TEMPLATES = raw("orders", "lineitem") + _TYPED + f""", n AS (SELECT table_id, max(col) + 1 AS n_cols FROM raw GROUP BY 1), h AS (SELECT * FROM (VALUES {heads("orders", "lineitem")}) AS x(table_id, col, name)),
+picked AS (SELECT table_id, row, row_number() OVER (PARTITION BY table_id ORDER BY md5(table_id || '|' || row), row) AS id FROM (SELECT DISTINCT table_id, row FROM raw) QUALIFY id <= 10),
+sel AS (SELECT *, CAST({_draw("sel")} % n_cols AS INTEGER) AS sel_col FROM picked JOIN n USING (table_id)),
+chosen AS (SELECT *, CAST((sel_col + 1 + {_draw("where")} % greatest(1, n_cols - 1)) % n_cols AS INTEGER) AS where_col FROM sel),
+found AS (SELECT c.*, hs.name AS sel_name, hw.name AS where_name, t.type, r.text AS value FROM chosen c JOIN h hs ON hs.table_id = c.table_id AND hs.col = sel_col JOIN h hw ON hw.table_id = c.table_id AND hw.col = where_col
+  LEFT JOIN types t ON t.table_id = c.table_id AND t.col = where_col JOIN raw r ON r.table_id = c.table_id AND r.row = c.row AND r.col = where_col WHERE r.text <> ''),
+ruled AS (SELECT *, coalesce(type IN ('INT', 'FLOAT') AND regexp_matches(value, '^[0-9]+([.][0-9]+)?$'), false) AS number FROM found),
+templates AS (SELECT *, CASE WHEN {_draw("agg")} % 2 = 0 THEN 'count' ELSE '' END AS aggregate, CASE WHEN number AND {_draw("op")} % 2 = 0 THEN '>' ELSE '=' END AS op FROM ruled),
+worded AS (SELECT table_id, CAST(id AS INTEGER) AS id, row, sel_col, aggregate, where_col, op, value, 'select ' || CASE WHEN aggregate = 'count' THEN 'count(' || sel_name || ')' ELSE sel_name END || ' where ' || where_name || ' ' || op || ' '
+  || CASE WHEN number THEN value ELSE chr(39) || replace(value, chr(39), chr(39) || chr(39)) || chr(39) END AS sql FROM templates)"""
 _JOIN = ("nation", "supplier", "customer", "part", "orders", "lineitem")
 _STRIPPED_TEXT = T.sql_strip("text")
 
@@ -144,6 +158,8 @@ ORACLE = {
     "joinable_values": cells(*_JOIN) + rf""", h AS (SELECT table_id, col, lower(name) AS col_key FROM (VALUES {heads(*_JOIN)}) AS x(table_id, col, name) WHERE col < 6 AND NOT regexp_matches(name, 'year|date|time|number|score|#')),
 shared AS (SELECT col_key, key, string_agg(DISTINCT table_id, ',' ORDER BY table_id) AS table_ids FROM cells JOIN h USING (table_id, col) WHERE key <> '' GROUP BY ALL HAVING count(DISTINCT table_id) > 1)
 SELECT col_key, key, table_ids FROM shared QUALIFY row_number() OVER (PARTITION BY col_key ORDER BY key) <= 10""",
+    "sql_templates": _TEMPLATES + " SELECT * FROM worded",
+    "template_results": _TEMPLATES + " SELECT w.table_id, w.id, CAST(sum(CASE WHEN op = '=' THEN r.text = value ELSE coalesce(try_cast(r.text AS DOUBLE) > try_cast(value AS DOUBLE), false) END::BIGINT) AS BIGINT) AS n_rows FROM worded w JOIN raw r ON r.table_id = w.table_id AND r.col = w.where_col GROUP BY ALL",
     "sql_tokens": r"""WITH q AS (SELECT c_custkey, lower('SELECT Count(c_name) WHERE c_mktsegment = ''' || c_mktsegment || ' x'' and c_custkey > ' || c_custkey || CASE WHEN c_nationkey = 3 THEN '''' ELSE '' END) AS s FROM customer)
 SELECT c_custkey, CASE WHEN (length(s) - length(replace(s, '''', ''))) % 2 = 0 THEN array_to_string(regexp_extract_all(s, '''[^'']*''|(?:count|sum|max|min|avg)\([^)]*\)|[^\s'']+'), '~') END AS tokens FROM q""",
     "sql_parse": r"SELECT c_custkey, 'count(c_name)' AS sel, 'c_mktsegment = ''' || lower(c_mktsegment) || ' x'' and c_custkey > ' || c_custkey || CASE WHEN c_nationkey = 3 THEN '''' ELSE '' END AS cond FROM customer",
