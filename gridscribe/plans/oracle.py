@@ -124,6 +124,11 @@ ruled AS (SELECT *, coalesce(type IN ('INT', 'FLOAT') AND regexp_matches(value,
 templates AS (SELECT *, CASE WHEN {_draw("agg")} % 2 = 0 THEN 'count' ELSE '' END AS aggregate, CASE WHEN number AND {_draw("op")} % 2 = 0 THEN '>' ELSE '=' END AS op FROM ruled),
 worded AS (SELECT table_id, CAST(id AS INTEGER) AS id, row, sel_col, aggregate, where_col, op, value, 'select ' || CASE WHEN aggregate = 'count' THEN 'count(' || sel_name || ')' ELSE sel_name END || ' where ' || where_name || ' ' || op || ' '
   || CASE WHEN number THEN value ELSE chr(39) || replace(value, chr(39), chr(39) || chr(39)) || chr(39) END AS sql FROM templates)"""
+def _one_row(*names: str) -> str:
+    """Passages of one row each, for tables whose rows fit a window; window ids count a table's rows."""
+    return cells(*names) + f", h AS (SELECT * FROM (VALUES {heads(*names)}) AS x(table_id, col, name)), n AS (SELECT table_id, max(col) AS last FROM h GROUP BY 1) SELECT table_id, CAST(0 AS BIGINT) AS block_id, CAST(row AS BIGINT) AS window_id, table_id || ' [SEP]' || string_agg(name || ' : ' || text || ' ' || (CASE WHEN col = last THEN '[SEP]' ELSE ';' END) || ' ', '' ORDER BY col) AS passage, CAST(2 + sum({T.sql_size('name')} + 2 + size) AS BIGINT) AS size, string_agg(row::VARCHAR, ',') AS rows FROM cells JOIN h USING (table_id, col) JOIN n USING (table_id) GROUP BY table_id, row"
+
+
 _JOIN = ("nation", "supplier", "customer", "part", "orders", "lineitem")
 _STRIPPED_TEXT = T.sql_strip("text")
 
@@ -143,7 +148,8 @@ ORACLE = {
     "compress_row_order": cells("part") + _BINS + _GAINS + _ORDER + ", best AS (SELECT b.table_id, b.row, min(bin_rank) AS r FROM bins b JOIN ranked USING (table_id, col, slot) GROUP BY ALL) SELECT a.table_id, a.row, row_number() OVER (PARTITION BY a.table_id ORDER BY r NULLS LAST, a.row) - 1 AS ord FROM (SELECT DISTINCT table_id, row FROM raw) a LEFT JOIN best USING (table_id, row)",
     "schema_blocks": "SELECT table_id, block_id, cols, header, CAST(header_size AS BIGINT) AS header_size FROM (VALUES " + ", ".join(f"('{n}', {b}, '{','.join(map(str, c))}', '{t}', {s})" for n, b, c, t, s in blocks("nation", "supplier", "customer", "part", "orders", "lineitem", "events", budget=10)) + ") AS x(table_id, block_id, cols, header, header_size)",
     "block_cells": cells("supplier") + f", h AS (SELECT * FROM (VALUES {heads('supplier')}) AS x(table_id, col, name)) SELECT table_id, row, col, (CASE WHEN col = 0 THEN 'supplier [SEP]' ELSE '' END) || name || ' : ' || text || ' ' || (CASE WHEN col = 3 THEN '[SEP]' ELSE ';' END) || ' ' AS text, CASE WHEN col = 0 THEN 2 ELSE 0 END + {T.sql_size('name')} + 1 + size + 1 AS size FROM cells JOIN h USING (table_id, col)",
-    "one_row_passages": cells("nation", "supplier") + f", h AS (SELECT * FROM (VALUES {heads('nation', 'supplier')}) AS x(table_id, col, name)), n AS (SELECT table_id, max(col) AS last FROM h GROUP BY 1) SELECT table_id, CAST(0 AS BIGINT) AS block_id, CAST(row AS BIGINT) AS window_id, table_id || ' [SEP]' || string_agg(name || ' : ' || text || ' ' || (CASE WHEN col = last THEN '[SEP]' ELSE ';' END) || ' ', '' ORDER BY col) AS passage, CAST(2 + sum({T.sql_size('name')} + 2 + size) AS BIGINT) AS size, string_agg(row::VARCHAR, ',') AS rows FROM cells JOIN h USING (table_id, col) JOIN n USING (table_id) GROUP BY table_id, row",
+    "one_row_passages": _one_row("nation", "supplier"),
+    "decompressed_passages": _one_row("part"),
     "schema_windows": chain("lineitem") + " SELECT CAST(window_id AS INTEGER) AS window_id, min(row) AS first_row, max(row) AS last_row, count(*) AS n FROM win GROUP BY window_id",
     "schema_passages": chain("orders") + f" SELECT 'orders' AS table_id, CAST(0 AS BIGINT) AS block_id, CAST(window_id AS BIGINT) AS window_id, '{blocks('orders')[0][3]}' || string_agg(text, '' ORDER BY row) AS passage, CAST({blocks('orders')[0][4]} + sum(sz) AS BIGINT) AS size, string_agg(row::VARCHAR, ',' ORDER BY row) AS rows, CAST(window_id AS BIGINT) AS p_id FROM win JOIN rendered USING (row) GROUP BY window_id",
     "compress_window_cost": chain("orders") + ", keys AS (SELECT window_id, key, count(*) AS y, max(size) AS x FROM cells JOIN win USING (row) GROUP BY ALL) SELECT CAST(window_id AS INTEGER) AS window_id, CAST(sum(least(y * x, y + x + 3)) AS BIGINT) AS coded, CAST(sum(x * y) AS BIGINT) AS plain, CAST(sum(y) AS BIGINT) AS n_cells FROM keys GROUP BY window_id",
