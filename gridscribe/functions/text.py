@@ -57,9 +57,12 @@ def coded_cost(x: Column, y: Column) -> Column:
 
 
 def column_letters(n: Column) -> Column:
-    """Spreadsheet letters of column n: 1 is A, 27 is AA; up to 702."""
-    one = lambda c: F.char(F.lit(64) + c)
-    return F.when(n <= 26, one(n)).otherwise(F.concat(one(F.floor((n - 1) / 26)), one((n - 1) % 26 + 1)))
+    """Spreadsheet letters of column n (bijective base 26): 1 is A, 27 is AA; below 1 the empty text; up to 7 letters."""
+    places = []
+    for i in range(6, -1, -1):
+        least = sum(26**j for j in range(i + 1))  # the first n of i + 1 letters
+        places.append(F.when(n >= least, F.char(F.floor((n - least) / 26**i) % 26 + 65)).otherwise(""))
+    return F.concat(*places)
 
 
 def next_prime(n: int) -> int:

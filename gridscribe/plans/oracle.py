@@ -101,7 +101,7 @@ hit_{name} AS (SELECT qid, max((tbl_pos <= {n} AND table_id = gold)::INT) AS hit
 
 
 _BATCH = """WITH v AS (SELECT vec_id AS p_id, embedding::DOUBLE[] AS emb FROM embeddings),
-pairs AS (SELECT q.p_id AS qid, p.p_id, q.emb AS a, p.emb AS b FROM v q JOIN v p ON q.p_id // 500 = p.p_id // 500 WHERE q.p_id % 100 = 0 AND p.p_id % 50 = 0),
+pairs AS (SELECT q.p_id AS qid, p.p_id, q.emb AS a, p.emb AS b FROM v q JOIN v p ON q.p_id // 500 = p.p_id // 500 WHERE q.p_id % 100 = 0),
 far AS (SELECT qid, p_id, round(0.0 - list_sum([(a[i] - b[i]) * (a[i] - b[i]) FOR i IN range(1, len(a) + 1)]), 6) AS score FROM pairs),
 near AS (SELECT qid, p_id, round(list_inner_product(a, b), 6) AS score FROM pairs)"""
 
@@ -172,7 +172,7 @@ SELECT c_custkey, CASE WHEN (length(s) - length(replace(s, '''', ''))) % 2 = 0 T
     "cycle_consistency": "SELECT c_custkey, c_nationkey >= 5 AS consistent FROM customer",
     "copy_check": r"""WITH q AS (SELECT p_partkey, p_type, p_name, lower('Which Brand has ' || p_type || ' of ' || CASE WHEN p_size > 25 THEN p_name ELSE 'any name' END) AS t FROM part)
 SELECT p_partkey, array_to_string(list_concat(list_filter(['brand', 'retailprice'], lambda x: contains(t, x)), list_filter([p_type, p_name], lambda x: len(regexp_split_to_array(trim(x), '\s+')) >= 2 AND contains(t, lower(x)))), '~') AS copied FROM q""",
-    "col_letters": "SELECT p_partkey, CASE WHEN p_partkey <= 26 THEN chr((64 + p_partkey)::INT) ELSE chr((64 + (p_partkey - 1) // 26)::INT) || chr((65 + (p_partkey - 1) % 26)::INT) END AS letters FROM part WHERE p_partkey BETWEEN 1 AND 702",
+    "col_letters": "SELECT p_partkey, " + " || ".join(f"CASE WHEN p_partkey >= {o} THEN chr(((p_partkey - {o}) // {26**i} % 26 + 65)::INT) ELSE '' END" for i in range(6, -1, -1) for o in [sum(26**j for j in range(i + 1))]) + " AS letters FROM part",
     "grid_row_lists": "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN '' ELSE l_orderkey || ',' || l_linenumber END AS rows FROM lineitem",
     "label_row_cut": "WITH r AS (SELECT coalesce(source, '') AS table_id, doc_id AS row, CAST(doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) AS BIGINT) AS is_label FROM documents) SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY table_id ORDER BY is_label DESC, row) <= 10",
     "split_by_table": "SELECT doc_id AS table_id, CASE WHEN row_number() OVER (ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 < floor(0.8 * count(*) OVER ()) THEN 'train' ELSE 'dev' END AS part FROM documents",

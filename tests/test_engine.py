@@ -205,7 +205,7 @@ def test_questions(spark):
     assert one(Q.sql_tokens(F.lit("Select Max(a b) where c = 'x Y'"))) == ["select", "max(a b)", "where", "c", "=", "'x y'"]
     assert one(Q.sql_tokens(F.lit("select 'x"))) is None and one(Q.sql_tokens(F.lit("select max(a"))) is None
     assert tuple(one(Q.parsed_sql(F.lit("SELECT a FROM t WHERE b = 1")))) == ("a", "t", "b = 1") and one(Q.parsed_sql(F.lit("select a"))) is None
-    assert [one(T.column_letters(F.lit(n))) for n in (1, 26, 27, 702)] == ["A", "Z", "AA", "ZZ"]
+    assert [one(T.column_letters(F.lit(n))) for n in (0, 1, 26, 27, 702, 703, 18278, 18279)] == ["", "A", "Z", "AA", "ZZ", "AAA", "ZZZ", "AAAA"]
     assert P.first_fit([4, 3, 2, 5, 9], 6) == [0, 1, 0, 2, 3]
     assert P.disjoint_sets([(frozenset({1, 2}), 2.0), (frozenset({2}), 1.5), (frozenset({3}), 1.0)]) == [1, 2]
     assert [T.next_prime(n) for n in (0, 4, 13, 14)] == [2, 5, 13, 17]
