@@ -129,6 +129,7 @@ def _one_row(*names: str) -> str:
     return cells(*names) + f", h AS (SELECT * FROM (VALUES {heads(*names)}) AS x(table_id, col, name)), n AS (SELECT table_id, max(col) AS last FROM h GROUP BY 1) SELECT table_id, CAST(0 AS BIGINT) AS block_id, CAST(row AS BIGINT) AS window_id, table_id || ' [SEP]' || string_agg(name || ' : ' || text || ' ' || (CASE WHEN col = last THEN '[SEP]' ELSE ';' END) || ' ', '' ORDER BY col) AS passage, CAST(2 + sum({T.sql_size('name')} + 2 + size) AS BIGINT) AS size, string_agg(row::VARCHAR, ',') AS rows FROM cells JOIN h USING (table_id, col) JOIN n USING (table_id) GROUP BY table_id, row"
 
 
+_NAMES = ("nation", "supplier", "customer", "part", "orders")
 _JOIN = ("nation", "supplier", "customer", "part", "orders", "lineitem")
 _STRIPPED_TEXT = T.sql_strip("text")
 
@@ -189,4 +190,14 @@ g AS (SELECT qid, n // 3 AS p_id, string_agg(n::VARCHAR, ',' ORDER BY n) AS base
     "best_epochs": """WITH l AS (SELECT l_orderkey AS run, l_linenumber AS step, min(l_extendedprice) AS loss FROM lineitem GROUP BY ALL),
 b AS (SELECT *, min(loss) OVER (PARTITION BY run ORDER BY step) AS best FROM l),
 s AS (SELECT *, step - max(CASE WHEN loss = best THEN step END) OVER (PARTITION BY run ORDER BY step) AS streak FROM b) SELECT run, step, best, CAST(streak AS BIGINT) AS streak, streak >= 3 AS stopped FROM s""",
+    "table_prompts": raw(*_NAMES) + f""", h AS (SELECT table_id, string_agg(name, ' | ' ORDER BY col) AS head FROM (VALUES {heads(*_NAMES)}) AS x(table_id, col, name) GROUP BY 1),
+lines AS (SELECT table_id, row, chr(10) || string_agg(text, ' | ' ORDER BY col) AS line FROM raw GROUP BY ALL),
+drawn AS (SELECT * FROM lines QUALIFY row_number() OVER (PARTITION BY table_id ORDER BY md5(table_id || '|' || row), row) <= 10)
+SELECT table_id, 'Table Caption:' || chr(10) || table_id || chr(10) || 'Table Data:' || chr(10) || any_value(head) || string_agg(line, '' ORDER BY row) AS prompt FROM drawn JOIN h USING (table_id) GROUP BY table_id""",
+    "answer_lines": "SELECT p_partkey, p_size || '=What is ' || p_name || ' ?' AS plain, '7=' || p_type AS tagged FROM part",
+    "question_sheet": _TEMPLATES + """ SELECT table_id, table_id AS title, CAST(row_number() OVER (PARTITION BY table_id ORDER BY id) AS INTEGER) AS q_no, sql AS question, row, row + 2 AS grid_row, sel_col, chr(65 + sel_col) AS grid_col,
+  where_col || ' , ' || sel_col AS where_cols, chr(65 + where_col) || ' , ' || chr(65 + sel_col) AS grid_where_cols FROM worded""",
+    "sample_passages": "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT 100",
+    "passage_tables": raw("part") + " SELECT table_id, row, string_agg(text, '~' ORDER BY col) AS cells FROM raw GROUP BY ALL",
+    "mean_pool": "SELECT vec_id, i AS at, round((embedding[i + 1]::DOUBLE + embedding[i + 1 + len(embedding) // 2]::DOUBLE) / 2, 6) AS x FROM (SELECT vec_id, embedding, unnest(range(len(embedding) // 2)) AS i FROM embeddings)",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridscribe.functions import text as T
-from gridscribe.operators import agree as A, cells as O, packing as P, questions as Q, retrieval as R
+from gridscribe.operators import agree as A, cells as O, packing as P, prompts as M, questions as Q, retrieval as R
 from gridscribe.plans import strategies as S
 from gridscribe.plans.oracle import ORACLE  # noqa: F401
 from gridscribe.sources.tables import TableSet, from_relation, grid_rows, relation, short_name
@@ -338,5 +338,39 @@ def best_epochs(spark, d):
     return Q.best_epochs(losses.groupBy("run", "step").agg(F.min("loss").alias("loss"))).select("run", "step", "best", F.col("streak").cast("long").alias("streak"), "stopped")
 
 
+def table_prompts(spark, d):
+    t = tables(spark, d, *NAMES)
+    return M.table_prompts(t.rows, t.columns)
+
+
+def answer_lines(spark, d):
+    p = relation(spark, d, "part")
+    answer = F.concat(F.lit("Sure:\n"), F.col("p_size").cast("string"), F.lit(". What is "), "p_name", F.lit(" ?\nno number. here\n7 | "), "p_brand", F.lit(" Paraphrased(Begin Tag):  "), "p_type", F.lit(" \n8 | untagged"))
+    listed = lambda a: F.array_join(F.transform(a, lambda x: F.concat(x["no"].cast("string"), F.lit("="), x["text"])), "~")
+    return p.select("p_partkey", listed(M.answer_lines(answer)).alias("plain"), listed(M.answer_lines(answer, "|", "Paraphrased(Begin Tag):")).alias("tagged"))
+
+
+def question_sheet(spark, d):
+    q = _templates(spark, d)[0].select("table_id", F.col("table_id").alias("title"), "id", F.concat(F.when(F.col("id") % 2 == 0, F.lit("| ")).otherwise(F.lit("")), "sql").alias("question"), "row", "sel_col", F.array("where_col", "sel_col").alias("where_cols"))
+    return M.question_sheet(q)
+
+
+def sample_passages(spark, d):
+    return M.sampled(_documents(spark, d).select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5")), 100, "doc_id")
+
+
+def passage_tables(spark, d):
+    t = tables(spark, d, "part")
+    p = P.with_passage_ids(S.serialize(t, "compress"))
+    return M.passage_tables(p, t.rows).select("table_id", "row", F.array_join("cells", "~").alias("cells"))
+
+
+def mean_pool(spark, d):
+    v = relation(spark, d, "embeddings")
+    half = F.floor(F.size("embedding") / 2).cast("int")
+    pooled = M.mean_pool(F.array(F.slice("embedding", F.lit(1), half), F.slice("embedding", half + 1, half)))
+    return v.select("vec_id", F.posexplode(pooled).alias("at", "x")).select("vec_id", F.col("at").cast("long").alias("at"), F.round("x", 6).alias("x"))
+
+
 _SKIP = {"tables", "canonical", "relation", "from_relation", "short_name", "grid_rows"}
 QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and not k.startswith("_") and getattr(v, "__module__", "") == __name__ and k not in _SKIP}

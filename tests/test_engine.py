@@ -1,5 +1,6 @@
 """Serialization, packing, sources and evaluation on small tables."""
 
+import hashlib
 import json
 import random
 import re
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridscribe.functions import text as T
-from gridscribe.operators import agree as A, cells as O, packing as P, questions as Q, retrieval as R
+from gridscribe.operators import agree as A, cells as O, packing as P, prompts as M, questions as Q, retrieval as R
 from gridscribe.plans import strategies as S
 from gridscribe.plans.staging import numbered
 from gridscribe.sources import tables as X
@@ -209,3 +210,33 @@ def test_questions(spark):
     assert P.first_fit([4, 3, 2, 5, 9], 6) == [0, 1, 0, 2, 3]
     assert P.disjoint_sets([(frozenset({1, 2}), 2.0), (frozenset({2}), 1.5), (frozenset({3}), 1.0)]) == [1, 2]
     assert [T.next_prime(n) for n in (0, 4, 13, 14)] == [2, 5, 13, 17]
+
+
+def test_prompts_take_bounded_rows_and_columns(spark):
+    grid = [[f"r{i}c{j}" for j in range(60)] for i in range(25)]
+    t = make(spark, grid, [f"n{j}" for j in range(60)])
+    (row,) = M.table_prompts(t.rows, t.columns).collect()
+    lines = row["prompt"].split("\n")
+    names = lines[3].split(" | ")
+    assert lines[0] == "Table Caption:" and len(names) == 50 and names[:5] == [f"n{j}" for j in range(5)] and len(set(names)) == 50
+    body = [x.split(" | ") for x in lines[4:]]
+    drawn = [int(x[0][1:].split("c")[0]) for x in body]
+    assert len(body) == 10 and drawn == sorted(set(drawn)) and all(x == [f"r{i}c{n[1:]}" for n in names] for i, x in zip(drawn, body, strict=True))
+    assert M.table_prompts(t.rows.limit(0), t.columns).first()["prompt"].split("\n")[3:] == [" | ".join(names)]
+
+
+def test_answers_samples_and_pools(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    text = "1. a. b\nx. y\n2 | Tag: q \n\n3 | z"
+    assert [tuple(x) for x in one(M.answer_lines(F.lit(text)))] == [(1, "a. b")]
+    assert [tuple(x) for x in one(M.answer_lines(F.lit(text), "|", "Tag:"))] == [(2, "q")]
+    assert one(M.answer_lines(F.lit(None).cast("string"))) == [] and one(M.answer_lines(F.lit(""))) == []
+    assert one(M.mean_pool(F.expr("array(array(1f, 2f), array(3f, 6f), array(5f, 1f))"))) == [3.0, 3.0] and one(M.mean_pool(F.expr("array(array(1f, 2f))"))) == [1.0, 2.0]
+    assert one(M.mean_pool(F.expr("cast(array() as array<array<float>>)"))) is None
+    ids = [r["id"] for r in M.sampled(spark.range(50), 7, "id").collect()]
+    assert ids == sorted(range(50), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())[:7] and M.sampled(spark.range(3), 7, "id").count() == 3
+    q = spark.createDataFrame([("t", "T", 9, "| why ?", 0, 26, [0, 27]), ("t", "T", 4, "who", 3, 0, [])], "table_id string, title string, id int, question string, row int, sel_col int, where_cols array<int>")
+    assert [tuple(r) for r in M.question_sheet(q).orderBy("q_no").collect()] == [("t", "T", 1, "who", 3, 5, 0, "A", "", ""), ("t", "T", 2, "why ?", 0, 2, 26, "AA", "0 , 27", "A , AB")]
+    rows = spark.createDataFrame([("t", 0, ["a", "b", "c"]), ("t", 1, ["d", "e"])], "table_id string, row int, cells array<string>")
+    p = spark.createDataFrame([(5, "t", [1, 0], [[2, 0], [0]])], "p_id long, table_id string, rows array<int>, cols array<array<int>>")
+    assert [tuple(r) for r in M.passage_tables(p, rows).orderBy("at").collect()] == [(5, "t", 1, 0, ["", "d"]), (5, "t", 0, 1, ["c", "a"])]
