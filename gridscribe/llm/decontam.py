@@ -1,16 +1,17 @@
 """Benchmark decontamination by spaced seeds (operator 9). DataFrame functions only.
 
-Texts become lower-case runs of letters and digits. A seed is a fixed mask over a span of tokens: the tokens at its ones are
-hashed, those at its zeros are ignored, so a substituted token breaks only the seeds that read it. Seeds of documents meet
-seeds of benchmark items by an equi-join; each hit names an item and a diagonal (place in the document minus place in
-the item), and along each diagonal the whole overlap is compared token by token: a document is contaminated by an item
-if some window of `window` tokens (or the whole of a shorter item) agrees in at least `share` of its places.
+Texts become lower-case runs of letters and digits. A document is contaminated by an item if some window of `window` tokens
+(or the whole of a shorter item) agrees in at least `share` of its places. A seed is the hash of a run of tokens, as long as
+the longest run that every such window must hold unbroken: k substitutions leave k + 1 runs, and `need` equal tokens in
+k + 1 runs make one of ceil(need / (k + 1)), so no pattern within the threshold is missed. Seeds of documents meet seeds
+of benchmark items by an equi-join; each hit names an item and a diagonal (place in the document minus place in the
+item), and along each diagonal the whole overlap is compared token by token.
 
 The item seeds are broadcast only if they are counted to be few; otherwise the join shuffles by seed. Hits carry ids and places
 only; the documents that hits name are read again for verification.
 
-Defined results: null or empty texts match nothing; items of fewer than `least` tokens are not searched for, items between
-`least` and the span of a seed are searched for as exact phrases; repeated rows and repeated hits give one pair, its
+Defined results: null or empty texts match nothing; items of fewer than `least` tokens are not searched for; items so short
+that `share` allows no substitution are searched for as exact phrases; repeated rows and repeated hits give one pair, its
 best window; a document without id is reported with a null id; empty tables give no pairs; extra columns are ignored.
 """
 
@@ -23,8 +24,6 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Token offsets that a seed reads.
-MASKS = ((0, 1, 3, 4, 7, 9), (0, 2, 3, 6, 8, 9))
 BROADCAST_ROWS = 2_000_000
 
 
@@ -33,18 +32,25 @@ def tokens(text: Column) -> Column:
     return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " "))
 
 
-def seeds(hashes: Column, masks: Sequence[Sequence[int]]) -> Column:
-    """array<struct<at, seed>>: for each mask, the hash of the tokens it reads at each place where its span fits."""
+def seed_length(m: int, window: int, share: float) -> int:
+    """The longest run of equal tokens that every match of an item of m tokens is bound to hold."""
+    width = min(m, window)
+    need = next(n for n in range(width + 1) if n >= share * width)
+    return max(1, -(-need // (width - need + 1)))
+
+
+def seeds(hashes: Column, lengths: Sequence[int]) -> Column:
+    """array<struct<at, seed>>: for each length, the hash of the run of tokens at each place where it fits."""
     out = []
-    for number, mask in enumerate(masks):
-        last = F.size(hashes) - 1 - max(mask)
+    for length in lengths:
+        last = F.size(hashes) - length
         places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        out.append(F.transform(places, _seed_at(hashes, mask, number)))
-    return F.concat(*out)
+        out.append(F.transform(places, _seed_at(hashes, length)))
+    return F.concat(*out) if out else F.array().cast("array<struct<at:int,seed:bigint>>")
 
 
-def _seed_at(hashes: Column, mask: Sequence[int], number: int):
-    return lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(number), *(F.get(hashes, i + o) for o in mask)).alias("seed"))
+def _seed_at(hashes: Column, length: int):
+    return lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(length), *(F.get(hashes, i + o) for o in range(length))).alias("seed"))
 
 
 def _best(window: int) -> Column:
@@ -65,19 +71,22 @@ def _best(window: int) -> Column:
     return F.array_max(F.transform("diagonals", along))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, masks: Sequence[Sequence[int]] = MASKS, window: int = 20, share: float = 0.8, least: int = 5) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, window: int = 20, share: float = 0.8, least: int = 1) -> DataFrame:
     """Pairs (doc_id, item_id) with matched (equal tokens of the best window), compared (its length) and share."""
     hashed = lambda c: F.transform(c, lambda t: F.xxhash64(t))
     items = C.pick(items, item_id="long", text="string").select("item_id", tokens(F.col("text")).alias("item_tokens")).filter(F.size("item_tokens") >= least)
     items = C.stage(items, "items")
-    span = max(max(m) for m in masks) + 1
-    short = [r["n"] for r in items.select(F.size("item_tokens").alias("n")).filter(F.col("n") < span).distinct().collect()]  # at most span lengths
-    masks = [*masks, *(tuple(range(n)) for n in sorted(short))]
-    own = items.select("item_id", F.explode(seeds(hashed(F.col("item_tokens")), masks)).alias("s"), F.size("item_tokens").alias("n"))
+    sizes = [r["m"] for r in items.select(F.least(F.size("item_tokens"), F.lit(window)).alias("m")).distinct().collect()]  # at most window sizes
+    run = {m: seed_length(m, window, share) for m in sizes}
+    lengths = sorted(set(run.values()))
+    size, kinds = F.least(F.size("item_tokens"), F.lit(window)), F.array().cast("array<struct<at:int,seed:bigint>>")
+    for length in lengths:
+        kinds = F.when(size.isin([m for m in sizes if run[m] == length]), seeds(F.col("h"), [length])).otherwise(kinds)
+    own = items.withColumn("h", hashed(F.col("item_tokens"))).select("item_id", F.explode(kinds).alias("s"))
     own = C.stage(own.select("item_id", F.col("s.at").alias("item_at"), F.col("s.seed").alias("seed")).distinct(), "item-seeds")
     docs = C.pick(docs, doc_id="long", text="string")
     small = own.count() <= BROADCAST_ROWS
-    found = docs.select("doc_id", hashed(tokens(F.col("text"))).alias("h")).select("doc_id", F.explode(seeds(F.col("h"), masks)).alias("s")).select("doc_id", F.col("s.at").alias("at"), F.col("s.seed").alias("seed"))
+    found = docs.select("doc_id", hashed(tokens(F.col("text"))).alias("h")).select("doc_id", F.explode(seeds(F.col("h"), lengths)).alias("s")).select("doc_id", F.col("s.at").alias("at"), F.col("s.seed").alias("seed"))
     hits = found.join(F.broadcast(own) if small else own, "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
     hits = C.stage(hits, "hits")
 
