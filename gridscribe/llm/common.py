@@ -77,6 +77,11 @@ def pick(df: DataFrame, **kinds: str) -> DataFrame:
     return df.select(*(F.col(f"`{name}`").cast(kind).alias(name) for name, kind in kinds.items()))
 
 
+def row_key(doc_id: str, text: str) -> Column:
+    """A 64-bit key of a row's id and text, null told from empty: equal rows alone share it (but for chance)."""
+    return F.xxhash64(F.col(doc_id).isNull(), F.col(doc_id), F.col(text).isNull(), F.col(text))
+
+
 # ---- numpy side ----------------------------------------------------------------------------------------------------------------
 
 

@@ -106,10 +106,11 @@ def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontam_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that no benchmark item contaminates."""
-    bad = C.stage(contaminated(docs, C.table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("bad_id")).distinct(), "bad")
+    """The rows that no benchmark item contaminates, each judged by its own text."""
+    key = C.row_key("doc_id", "text")
+    bad = C.stage(contaminated(docs.select(key.alias("doc_id"), "text"), C.table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("bad_key")).distinct(), "bad")
     few = bad.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(bad) if few else bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    return docs.join(F.broadcast(bad) if few else bad, key == F.col("bad_key"), "left_anti")
 
 
 QUERIES = {"op9_decontam": op9_decontam}

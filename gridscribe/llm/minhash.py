@@ -252,11 +252,23 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are the least id of their component; a repeated row stays once."""
-    keep = near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL")
-    out = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
-    return out if again.isEmpty() else out.dropDuplicates(["doc_id"])
+    """Of each component the row of the least id (null last) and then of the least key; every row is linked by its own text.
+
+    A repeated row (equal id and text) stays once, but rows that have neither id nor words all stay.
+    """
+    key = C.row_key("doc_id", "text")
+    near = near_duplicates(docs.select(key.alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "n_shingles", "component_id").distinct()
+    who = docs.select(key.alias("key"), "doc_id").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    named = C.stage(near.join(who, "key"), "named")
+    keep = C.stage(named.groupBy("component_id").agg(F.min(order)["key"].alias("_key"), F.max("n_shingles").alias("_n")).drop("component_id"), "keep")
+    own = docs.withColumn("_key", key)
+    out = own.join(keep, "_key")
+    again = own.groupBy("_key").agg(F.count("*").alias("n")).filter("n > 1").join(keep, "_key")
+    if again.isEmpty():
+        return out.select(*docs.columns)
+    bare = out.filter("_n = 0 AND doc_id IS NULL").select(*docs.columns)
+    return out.filter("_n > 0 OR doc_id IS NOT NULL").dropDuplicates(["_key"]).select(*docs.columns).unionByName(bare)
 
 
 QUERIES = {"op5_minhash": op5_minhash}
