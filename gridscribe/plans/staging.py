@@ -1,33 +1,74 @@
-"""Written intermediate tables and dense numbering without a single-task sort."""
+"""Written intermediate tables and dense numbering without a single-task sort.
+
+What is written lies in the folder that spark.checkpoint.dir names, below the application's id. It goes when the application's
+driver ends; what is written inside a `scratch` block goes at its end.
+"""
 
 from __future__ import annotations
 
 import atexit
+import contextlib
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
+_folders: dict[str, str] = {}
+_scratch: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """A folder of this application that every executor sees. A temporary one only where driver and executors are one process."""
+    context = spark.sparkContext
+    if context.applicationId in _folders:
+        return _folders[context.applicationId]
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     if named:
-        return named
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="gridscribe-core-")
-        atexit.register(shutil.rmtree, _own[app], True)
-    return "file://" + _own[app]
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    path = f"{shared_folder(df.sparkSession)}/gridscribe/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+        folder = f"{named.rstrip('/')}/gridscribe/{context.applicationId}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        atexit.register(_quietly, files.delete, path, True)
+    elif re.match(r"local(\[|$)", context.master):
+        local = tempfile.mkdtemp(prefix="gridscribe-")
+        atexit.register(shutil.rmtree, local, True)
+        folder = f"file://{local}"
+    else:
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    _folders[context.applicationId] = folder
+    return folder
+
+
+def _quietly(what, *args) -> None:
+    with contextlib.suppress(Exception):  # the JVM may have gone first
+        what(*args)
+
+
+def written(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
+    """df written and read back: later reads neither recompute it nor need the executors that made it. keep: beyond a scratch block."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    if _scratch and not keep:
+        _scratch[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was written inside: no DataFrame that reads it may be used after."""
+    own: list[str] = []
+    _scratch.append(own)
+    try:
+        yield
+    finally:
+        _scratch.remove(own)
+        for name in own:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def numbered(df: DataFrame, order: list, name: str = "row") -> DataFrame:
