@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -14,45 +10,46 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridscribe.plans.staging import scratch, shared_folder, written as stage  # noqa: F401
+
 #: The words of all contracts: maximal runs of bytes that are no ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that a Python task holds as one numpy block; one longer text is its own block.
 BLOCK_BYTES = 2 << 20
 
-_own_dirs: dict[str, str] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees (spark.checkpoint.dir); one of our own only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="gridscribe-")
-        atexit.register(shutil.rmtree, _own_dirs[app], True)
-    return "file://" + _own_dirs[app]
-
-
-def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: later reads neither recompute it nor need the executors that made it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gridscribe/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def bound_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Arrow batches of few rows: a batch of long texts then fits a Python worker's memory."""
+def bound_batches(spark: SparkSession, rows: int = 1024, size: int = 32 << 20) -> None:
+    """Arrow batches of few rows and bytes, for the whole session: a batch of long texts then fits a Python worker's memory."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+#: Keys with more than this share of the rows (and enough rows to matter) are hot: there can't be more than 1 / HOT_SHARE of them.
+HOT_SHARE, HOT_ROWS = 1e-4, 4096
+
+
+def counted_join(big: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """big joined with small (staged; one row per key, n: about how many rows of big have it); no task gets a hot key's rows.
+
+    The hot keys' rows of small are fewer than 10,000 whatever the input, so they are broadcast and big's rows stay where they
+    are; all other keys meet in a shuffle.
+    """
+    keys = list(keys)
+    total = small.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    line = max(HOT_ROWS, int(total * HOT_SHARE))
+    hot = small.filter(F.col("n") > line)
+    if hot.isEmpty():
+        return big.join(small, keys)
+    cold = big.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(small.filter(F.col("n") <= line), keys)
+    return big.join(F.broadcast(hot), keys).unionByName(cold)
 
 
 def remainder(column: str, m: int) -> Column:

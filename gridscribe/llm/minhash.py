@@ -7,9 +7,14 @@ shingle are one contiguous slice of the rank table, so a signature is a minimum
 Plan: exact copies (equal sets) first become one class by hash aggregation. Classes that share a band of the signature meet
 in a bucket. Of each bucket, the member met most often over all buckets (the likely original of a family) is compared with
 all others; the links are contracted to components. Buckets that still hold several components are then compared in
-full, as blocks against blocks: a task gets two blocks of at most some 128 sets and finds all links between them by one
-matrix product, so no row is ever made for a pair, and a bucket of any size is many tasks. Every link is verified on full
-sets. A bucket inside one component needs no more comparisons, for its pairs could add no component.
+full: their sets are dealt to classes of similar size and, inside these, to blocks bounded in sets and bytes; a block is held
+while the sets that may be similar stream past it, and matrix products find the links, so no row is ever made for a pair,
+and a bucket of any size is many tasks. Every link is verified on full sets. A bucket inside one component needs no more
+comparisons, for its pairs could add no component.
+
+Hot keys: joins by bucket, class and component go through common.counted_join, which broadcasts the few hot keys' single rows
+instead of shuffling their many. A centre's set is sent once to each part of its rows, never once per pair. Where `components`
+meets a hub it does the same; its alternating stars need O(log(n)**2) rounds for n nodes.
 
 Recall: with 30 bands of 6 rows a pair at similarity 0.85 misses every band with probability 7e-7 (0.8: 9e-5 for the default of
 5-word shingles, which uses 5 rows and 40 bands: 1e-7).
@@ -50,7 +55,7 @@ def slots(shingles: np.ndarray) -> np.ndarray:
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
     """Each text's sorted distinct shingle hashes: k words, or all words of a shorter text."""
-    factors = [np.uint64(2 * i + 1) * np.uint64(0xA0761D6478BD642F) for i in range(k)]
+    factors = C.mix(np.arange(1, k + 1, dtype=np.uint64)) | np.uint64(1)  # unrelated, so that no order of words equals another's
     for _, _, offsets, data in C.text_blocks(column):
         counts, words = C.words_of(offsets, data)
         ends = np.cumsum(counts)
@@ -113,81 +118,138 @@ def shingled(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "rep long, s binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for p, q in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
-                x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                both = 0
-                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    side = lambda c: sets.select(F.col("rep").alias(c), F.col("s").alias(f"s{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
-
-
-def common_sizes(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections of left with right sets, by matrix products over slices of the common elements."""
-    out = np.zeros((len(left), len(right)), np.float32)
-    x, y = np.concatenate(left), np.concatenate(right)
-    names = np.intersect1d(x, y)
-    rows, cols = (np.repeat(np.arange(len(z)), [len(e) for e in z]) for z in (left, right))
-    ix, iy = np.searchsorted(names, x), np.searchsorted(names, y)
-    okx, oky = names[np.minimum(ix, len(names) - 1)] == x if len(names) else np.zeros(len(x), bool), names[np.minimum(iy, len(names) - 1)] == y if len(names) else np.zeros(len(y), bool)
-    ix, rows, iy, cols = ix[okx], rows[okx], iy[oky], cols[oky]
-    for lo in range(0, len(names), 8192):
-        a = np.zeros((len(left), min(8192, len(names) - lo)), np.float32)
-        b = np.zeros((len(right), a.shape[1]), np.float32)
-        own = (ix >= lo) & (ix < lo + 8192)
-        a[rows[own], ix[own] - lo] = 1
-        own = (iy >= lo) & (iy < lo + 8192)
-        b[cols[own], iy[own] - lo] = 1
-        out += a @ b.T
-    return out.astype(np.int64)
-
-
-def settled_in_blocks(rest: DataFrame, sets: DataFrame, percent: int, block: int = 128) -> DataFrame:
-    """Links (a, b) of the buckets rest (key, rep, c: component): all pairs of a bucket are compared, block by block.
-
-    Of the links of two blocks only those are returned that join components which no other returned link joins.
+class Block:
+    """Some sets, and how many elements other sets share with each."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        every = np.concatenate(sets)
+        self.sizes = np.array([len(x) for x in sets])
+        self.names, self.at = np.unique(every, return_inverse=True)
+        self.rows = np.repeat(np.arange(len(sets)), self.sizes)
+
+    def common(self, others: list[np.ndarray], step: int = 8192) -> np.ndarray:
+        """Sizes of all intersections, by matrix products over slices of the elements."""
+        y = np.concatenate(others)
+        cols = np.repeat(np.arange(len(others)), [len(x) for x in others])
+        at = np.minimum(np.searchsorted(self.names, y), len(self.names) - 1)
+        hit = self.names[at] == y
+        at, cols = at[hit], cols[hit]
+        if len(self.sizes) == 1:
+            return np.bincount(cols, minlength=len(others))[None, :]
+        out = np.zeros((len(self.sizes), len(others)), np.float32)
+        for low in range(0, len(self.names), step):
+            wide = min(step, len(self.names) - low)
+            own = (at >= low) & (at < low + wide)
+            if not own.any():
+                continue
+            b = np.zeros((len(others), wide), np.float32)
+            b[cols[own], at[own] - low] = 1
+            a = np.zeros((len(self.sizes), wide), np.float32)
+            own = (self.at >= low) & (self.at < low + wide)
+            a[self.rows[own], self.at[own] - low] = 1
+            out += a @ b.T
+        return out.astype(np.int64)
+
+
+STREAM = "key long, size_class int, block int, part int, passing int, rep long, c long, s binary"
+GROUP = ("key", "size_class", "block", "part")
+
+
+def streamed_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of rows (STREAM): in each group the sets of passing = 0 are held, those of passing = 1 stream past them.
+
+    Returned are links that join components c which no other returned link of the group joins. A held block is bounded by
+    who made it; of what streams, one Arrow batch is in memory.
     """
-    sizes = rest.groupBy("key").agg(F.count("*").alias("n"))
-    dealt = rest.join(sizes, "key").withColumn("n_blocks", F.ceil(F.col("n") / block)).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")))
-    rows = dealt.select("key", "block", "rep", "c").join(sets, "rep")
-    blocks = C.stage(rows.groupBy("key", "block").agg(F.collect_list(F.struct("rep", "c", "s")).alias("members")), "blocks")
-    side = lambda n: blocks.select("key", F.col("block").alias(n))
-    whom = side("i").join(side("j"), "key").filter("i <= j")
-    get = lambda n, m: blocks.select("key", F.col("block").alias(n), F.col("members").alias(m))
-    meets = whom.join(get("i", "left"), ["key", "i"]).join(get("j", "right"), ["key", "j"])
+    # unit weight for each row: groups are parts of bounded work, dealt by hash
+    dealt = rows.repartition(*GROUP).sortWithinPartitions(*GROUP, "passing", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, block, root = None, [], None, {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                root[x] = root.get(root[x], root[x])
+                x = root[x]
+            return x
+
+        def links(reps: list, comps: list, sets: list) -> list[tuple[int, int]]:
+            sizes = np.array([len(x) for x in sets])
+            both = block.common(sets)
+            hit = (100 * both >= percent * (block.sizes[:, None] + sizes[None, :] - both)) & (both > 0)
+            out = []
+            for i, j in zip(*np.nonzero(hit), strict=True):
+                p, q = find(held[i][1]), find(comps[j])
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    out.append((held[i][0], reps[j]))
+            return out
+
         for batch in batches:
-            for n in range(batch.num_rows):
-                (ra, ca, sa), (rb, cb, sb) = (([m["rep"] for m in x], [m["c"] for m in x], [np.frombuffer(m["s"], np.uint64) for m in x]) for x in (batch.column("left")[n].as_py(), batch.column("right")[n].as_py()))
-                la, lb = np.array([len(x) for x in sa]), np.array([len(x) for x in sb])
-                both = common_sizes(sa, sb)
-                hit = (100 * both >= percent * (la[:, None] + lb[None, :] - both)) & (both > 0)
-                hit &= np.array(ca)[:, None] != np.array(cb)[None, :]
-                root: dict[int, int] = {}
-                out = []
-                for i, j in zip(*np.nonzero(hit), strict=True):
-                    p, q = ca[i], cb[j]
-                    while root.get(p, p) != p:
-                        p = root[p]
-                    while root.get(q, q) != q:
-                        q = root[q]
-                    if p != q:
-                        root[max(p, q)] = min(p, q)
-                        out.append((ra[i], rb[j]))
-                yield C.arrow_rows(a=pa.array([x for x, _ in out], pa.int64()), b=pa.array([y for _, y in out], pa.int64()))
-
-    # few rows a batch: each holds two blocks of sets
-    return meets.select("left", "right").repartition(max(8, int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(run, "a long, b long")
+            out: list[tuple[int, int]] = []
+            columns = [batch.column(c).to_pylist() for c in (*GROUP, "passing", "rep", "c")]
+            sets = batch.column("s")
+            reps, comps, waiting, size = [], [], [], 0
+
+            def flush() -> None:
+                nonlocal size
+                if waiting and held:
+                    out.extend(links(reps, comps, waiting))
+                reps.clear(), comps.clear(), waiting.clear()
+                size = 0
+
+            for n, row in enumerate(zip(*columns, strict=True)):
+                if row[:4] != key:
+                    flush()
+                    key, held, block, root = row[:4], [], None, {}
+                s = np.frombuffer(sets[n].as_py(), np.uint64)
+                if row[4] == 0:
+                    held.append((row[5], row[6], s))
+                    continue
+                if block is None and held:
+                    block = Block([x for _, _, x in held])
+                    held = [(r, c, None) for r, c, _ in held]
+                reps.append(row[5]), comps.append(row[6]), waiting.append(s)
+                size += len(s)
+                if len(waiting) >= 128 or size > 1 << 20:
+                    flush()
+            flush()
+            yield C.arrow_rows(a=pa.array([x for x, _ in out], pa.int64()), b=pa.array([y for _, y in out], pa.int64()))
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def links_of_centres(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of pairs (centre, rep, part), verified on full sets; each part of a centre's rows gets its set once."""
+    head = lambda passing: [F.col("centre").alias("key"), F.lit(0).alias("size_class"), F.lit(0).alias("block"), F.col("part").cast("int").alias("part"), F.lit(passing).alias("passing")]
+    passing = pairs.join(sets, "rep").select(*head(1), "rep", F.col("rep").alias("c"), "s")
+    parts = pairs.select("centre", "part").distinct()
+    held = parts.join(sets.withColumnRenamed("rep", "centre"), "centre").select(*head(0), F.col("centre").alias("rep"), F.col("centre").alias("c"), "s")
+    return streamed_links(held.unionByName(passing), percent)
+
+
+def settled_in_blocks(rest: DataFrame, sets: DataFrame, percent: int, block: int = 512, held_bytes: int = 4 << 20, passing_rows: int = 1 << 15) -> DataFrame:
+    """Links (a, b) of the buckets rest (key, rep, c: component, size): all sets of a bucket that may be similar are compared."""
+    # sets whose sizes differ by more than the similarity allows can't be linked: classes that are two apart
+    rest = rest.withColumn("size_class", F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int"))
+    dealt = rest.groupBy("key", "size_class").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    dealt = dealt.select("key", "size_class", "n", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("total") * 8 / held_bytes)).cast("int").alias("blocks"), F.ceil(F.col("n") / passing_rows).cast("int").alias("parts"))
+    dealt = C.stage(dealt, "size-classes")
+    rows = C.counted_join(rest, dealt, ["key", "size_class"])
+    rows = C.stage(rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("part", F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("parts")).cast("int")), "dealt")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    # each block is held once for each part of its own class and of the next one; parts of the next class have numbers below 0
+    after = dealt.select("key", (F.col("size_class") - 1).alias("size_class"), F.col("parts").alias("after"))
+    held = C.counted_join(rows.select("key", "size_class", "rep", "c", F.col("own").alias("block")), C.stage(dealt.join(after, ["key", "size_class"], "left").select("key", "size_class", "n", "parts", F.coalesce("after", F.lit(0)).alias("after")), "holders"), ["key", "size_class"])
+    both = F.concat(F.sequence(F.lit(0), F.col("parts") - 1), F.when(F.col("after") > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.col("after"), F.lit(1))), lambda i: -i)).otherwise(F.array().cast("array<int>")))
+    held = held.select("key", "size_class", "block", F.explode(both).alias("part"), F.lit(0).alias("passing"), "rep", "c")
+    # a set passes the blocks of its class from its own on, and all blocks of the class below
+    same = rows.select("key", "size_class", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("block"), "part", F.lit(1).alias("passing"), "rep", "c")
+    below = C.stage(dealt.select("key", (F.col("size_class") + 1).alias("size_class"), F.col("blocks").alias("below")).join(dealt.select("key", "size_class", "n"), ["key", "size_class"]), "below")
+    lower = C.counted_join(rows.select("key", "size_class", "part", "rep", "c"), below, ["key", "size_class"])
+    lower = lower.select("key", (F.col("size_class") - 1).alias("size_class"), numbers(F.col("below")).alias("block"), (-1 - F.col("part")).alias("part"), F.lit(1).alias("passing"), "rep", "c")
+    every = held.unionByName(same).unionByName(lower)
+    return streamed_links(every.join(sets, "rep").select("key", "size_class", "block", "part", "passing", "rep", "c", "s"), percent)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -199,11 +261,11 @@ def components(links: DataFrame) -> DataFrame:
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = C.stage(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
+        large = C.stage(C.counted_join(both, least, ["u"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large")
         # small star: every node and its lesser neighbours point to the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
+        low = C.stage(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "low")
+        small = C.counted_join(large, low, ["u"]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
         edges = C.stage(small, "star")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
@@ -212,39 +274,45 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("u").alias("rep")).agg(F.min("v").alias("comp"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 40, rows: int = 5, part_bytes: int = 4 << 20) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept."""
     docs = C.pick(docs, doc_id="long", text="string")
     base = C.stage(sketches(docs, k, bands, rows), "sketch")
-    classes = base.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.min("keys").alias("keys"))
+    classes = base.filter("n_shingles > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"), F.count("*").alias("n"), F.min("keys").alias("keys"))
     classes = C.stage(classes, "classes")
-    members = classes.select("rep", F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    live = C.stage(members.join(shared, "key"), "live")  # (key, rep, n) of buckets with two members or more
-    met = live.groupBy("rep").agg(F.sum("n").alias("met"))
-    live = C.stage(live.join(met, "rep").select("key", "rep", "met"), "live")
+    members = classes.filter("rep IS NOT NULL").select("rep", "size", F.explode("keys").alias("key"))
+    shared = C.stage(members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    live = C.stage(C.counted_join(members, shared, ["key"]), "live")  # (key, rep, size, n) of buckets with two members or more
     comp = None
     if not live.isEmpty():
-        sets = C.stage(shingled(docs.join(met.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), k).distinct(), "sets")
-        top = live.groupBy("key").agg(F.max(F.struct("met", (-F.col("rep")).alias("minus")))["minus"].alias("minus"))
-        pairs = live.join(top.select("key", (-F.col("minus")).alias("centre")), "key").filter("rep <> centre")
-        pairs = pairs.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-        links = C.stage(verified(pairs, sets, percent), "links")
+        met = C.stage(live.groupBy("rep").agg(F.sum("n").alias("met")), "met")
+        again = not base.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+        sets = shingled(docs.join(met.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), k)
+        sets = C.stage(sets.distinct() if again else sets, "sets")
+        top = live.join(met, "rep").groupBy("key").agg(F.max(F.struct("met", (-F.col("rep")).alias("minus"), F.col("size").alias("of"))).alias("t"), F.max("n").alias("n"))
+        top = C.stage(top.select("key", "n", (-F.col("t.minus")).alias("centre"), F.col("t.of").alias("of")), "centres")
+        pairs = C.counted_join(live.drop("n"), top, ["key"]).filter("rep <> centre").filter(100 * F.least("size", "of") >= percent * F.greatest("size", "of"))
+        # a centre's rows go to parts of some bytes; of the parts that a pair's buckets would give it the least will do
+        part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") * F.col("of") * 8 / part_bytes))
+        pairs = C.stage(pairs.groupBy("centre", "rep").agg(F.min(part).alias("part")), "pairs")
+        links = C.stage(links_of_centres(pairs, sets, percent), "links")
         comp = C.stage(components(links), "components")
-        label = C.stage(live.join(comp, "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("c")), "labels")
+        label = C.stage(live.join(comp, "rep", "left").select("key", "rep", "size", F.coalesce("comp", "rep").alias("c")), "labels")
         # a bucket of two has been compared; one inside a component is settled
-        torn = label.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).filter("lo <> hi AND n > 2").select("key")
-        rest = C.stage(label.join(torn, "key", "left_semi"), "rest")
+        torn = label.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).filter("lo <> hi AND n > 2").select("key", "n")
+        rest = C.stage(C.counted_join(label, C.stage(torn, "torn"), ["key"]).drop("n"), "rest")
         if not rest.isEmpty():
             comp = C.stage(components(links.unionByName(C.stage(settled_in_blocks(rest, sets, percent), "links"))), "components")
-    named = classes.select("hi", "lo", "rep")
+    named = classes.select("hi", "lo", "rep", "n")
     if comp is not None:
-        named = named.join(comp, "rep", "left").select("hi", "lo", F.coalesce("comp", "rep").alias("component"))
+        named = named.join(comp, "rep", "left").select("hi", "lo", "n", F.coalesce("comp", "rep").alias("component"))
     else:
         named = named.withColumnRenamed("rep", "component")
-    out = base.select("doc_id", "n_shingles", "hi", "lo").join(named, ["hi", "lo"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = C.stage(named, "named")
+    some = C.counted_join(base.filter("n_shingles > 0").select("doc_id", "n_shingles", "hi", "lo"), named, ["hi", "lo"])
+    none = base.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = some.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).unionByName(none)
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,7 +90,7 @@ class Rollup:
     """A rollup in a folder that all executors share."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path = spark, path or f"{C.shared_dir(spark)}/gridscribe/rollup-{uuid.uuid4().hex}"
+        self.spark, self.path = spark, path or f"{C.shared_folder(spark)}/rollup-{uuid.uuid4().hex}"
 
     def _files(self):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
