@@ -2,18 +2,19 @@
 
 The model reads a text as the bytes of its lower-cased words, a blank after each, then an end mark. Counts of all
 (depth + 1)-grams of all training texts are gathered by partial counts in numpy and one shuffle; shorter contexts are
-marginals of longer ones. A context is retained if its next-symbol distribution diverges from that of its suffix:
-n * KL >= `gain` nats; the `max_states` of largest gain are kept (the model's capacity, a parameter that bounds what is
-broadcast; counts and tests cover all data). Next-symbol distributions are Witten-Bell smoothed towards the suffix's. Closed
-under prefixes and suffixes, the tree is an automaton whose state is the longest retained suffix; scoring runs it over many chunks
-of text at once.
+marginals of longer ones. A context is retained if its next-symbol distribution diverges from what its suffix predicts:
+n * KL >= `gain` nats. Every context that passes is kept, so the tree grows with the corpus. Next-symbol distributions
+are Witten-Bell smoothed towards the suffix's; a symbol is scored in the longest retained suffix of the `depth` bytes before it.
 
-The base score needs the count of every word of the corpus, which grows with it: the most frequent words are broadcast (a
-fixed number), all others meet their counts in a join.
+The tree is a table per level: for each gram seen (context, symbol) the log10 probability that its longest retained suffix gives,
+and for each retained context what an unseen symbol costs on the way to the next shorter one. The most frequent grams are
+broadcast (a bounded number, cut at a count that a histogram names, so nothing is sorted as a whole); all other places of the
+texts meet the tables in joins, first the deepest level, what is not found there one level less, and so on. Words do the
+same for the base score.
 
 Defined results: null or empty texts have the end token alone; a null id counts as empty text for the held-out rule;
 repeated rows are learned from and scored each by itself; without training text every token is unknown and the model is
-uniform over 257 symbols; extra columns are ignored.
+uniform over 256 symbols; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,14 +24,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common as C
 
 MARK = 10  # the byte of start and end: no word holds it
-CHUNK = 1024
 WORD_KIND, GRAM_KIND, DOC_KIND = 0, 1, 2
+SYMBOLS = 256
 FLUSH = 1 << 20
 
 
@@ -72,10 +74,22 @@ def _merge(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -
     return key[first], np.add.reduceat(n, first) if len(first) else n
 
 
+def grams_of(offsets: np.ndarray, data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(grams per text, grams): a symbol in the lowest byte, above it the symbols before it, the nearest lowest."""
+    at, sym = symbols(offsets, data, depth)
+    code = np.zeros(len(sym), np.uint64)
+    for k in range(depth + 1):
+        code[k:] |= sym[: len(sym) - k].astype(np.uint64) << np.uint64(8 * k)
+    use = np.ones(len(sym), bool)
+    for k in range(depth):
+        use[at[:-1] + k] = False
+    return np.diff(at) - depth, code[use]
+
+
 def _counter(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        held, docs, tokens = {WORD_KIND: none, GRAM_KIND: none}, 0, 0
+        held, docs = {WORD_KIND: none, GRAM_KIND: none}, 0
 
         def out(kind: int) -> pa.RecordBatch:
             key, n = held[kind]
@@ -85,16 +99,7 @@ def _counter(depth: int):
         for batch in batches:
             docs += batch.num_rows
             for _, _, offsets, data in C.text_blocks(batch.column("text"), 4 * C.BLOCK_BYTES):
-                _, words = C.words_of(offsets, data)
-                tokens += len(words)
-                at, sym = symbols(offsets, data, depth)
-                code = np.zeros(len(sym), np.uint64)
-                for k in range(depth + 1):
-                    code[k:] |= sym[: len(sym) - k].astype(np.uint64) << np.uint64(8 * k)
-                use = np.ones(len(sym), bool)
-                for k in range(depth):
-                    use[at[:-1] + k] = False
-                for kind, keys in ((WORD_KIND, words), (GRAM_KIND, code[use])):
+                for kind, keys in ((WORD_KIND, C.words_of(offsets, data)[1]), (GRAM_KIND, grams_of(offsets, data, depth)[1])):
                     key, n = np.unique(keys, return_counts=True)
                     held[kind] = _merge(held[kind], (key.astype(np.uint64), n.astype(np.int64)))
                     if len(held[kind][0]) > FLUSH:
@@ -107,162 +112,180 @@ def _counter(depth: int):
 
 
 @dataclass
-class Automaton:
+class Model:
     depth: int
-    classes: np.ndarray  # byte -> class
-    pad: int  # the class of a place without symbol
-    step: np.ndarray  # state * n_classes + class -> next state * n_classes
-    cost: np.ndarray  # the same -> log10 probability
-    n_classes: int
-
-
-def suffix_tree(grams: DataFrame, depth: int, gain: float, max_states: int) -> Automaton:
-    """The automaton from grams (key: depth + 1 bytes, the last is the next symbol; n)."""
-    level = {depth: grams.select(F.shiftright("key", 8).alias("ctx"), F.expr("key & 255").alias("x"), "n")}
-    tested = None
-    for d in range(depth, 0, -1):
-        low = level[d].groupBy(F.expr(f"ctx & {(1 << 8 * (d - 1)) - 1}").alias("ctx"), "x").agg(F.sum("n").alias("n"))
-        level[d - 1] = C.stage(low, f"level{d - 1}")
-        total = level[d - 1].groupBy("ctx").agg(F.sum("n").alias("of"))
-        parent = level[d - 1].join(total, "ctx").select(F.col("ctx").alias("suffix"), "x", F.log(F.col("n") / F.col("of")).alias("lp"))
-        rows = level[d].withColumn("suffix", F.expr(f"ctx & {(1 << 8 * (d - 1)) - 1}"))
-        joined = rows.join(parent, ["suffix", "x"])
-        kl = joined.groupBy("ctx").agg(F.sum("n").alias("of"), F.sum(F.col("n") * (F.log("n") - F.col("lp"))).alias("s"))
-        kl = kl.select(F.lit(d).alias("d"), "ctx", F.round(F.col("s") - F.col("of") * F.log("of"), 6).alias("gain")).filter(F.col("gain") >= gain)
-        tested = kl if tested is None else tested.unionByName(kl)
-    # at most max_states rows, as Arrow columns: row objects would take the driver many times the memory
-    best = tested.orderBy(F.desc("gain"), "d", "ctx").limit(max_states).select("d", "ctx").toArrow()
-    states: list[set[int]] = [set() for _ in range(depth + 1)]
-    states[0].add(0)
-    for d, c in zip(best["d"].to_pylist(), best["ctx"].to_pylist(), strict=True):
-        states[d].add(c)
-    retained = [set(s) for s in states]
-    for d in range(depth, 0, -1):  # suffixes and prefixes of states are states
-        for c in states[d]:
-            states[d - 1].add(c & (1 << 8 * (d - 1)) - 1)
-            states[d - 1].add(c >> 8)
-    spark = grams.sparkSession
-    counts = {}
-    for d in range(depth + 1):
-        own = spark.createDataFrame([(c,) for c in sorted(retained[d])] or [(-1,)], "ctx long")
-        rows = level[d].join(F.broadcast(own), "ctx").select("ctx", "x", "n").toArrow()  # at most max_states contexts by 256 symbols
-        counts[d] = {c: rows[c].to_numpy().astype(np.int64) for c in ("ctx", "x", "n")}
-    seen = np.sort(counts[0]["x"])
-    classes = np.full(256, len(seen), np.int64)
-    classes[seen] = np.arange(len(seen))
-    width = len(seen) + 2  # the seen bytes, any other byte, no symbol
-    codes = [np.array(sorted(s), np.int64) for s in states]
-    base = np.concatenate([[0], np.cumsum([len(c) for c in codes])])
-    step = np.zeros((base[-1], width), np.int64)
-    prob = np.ones((base[-1], width))
-    n0 = np.zeros(width)
-    n0[classes[counts[0]["x"]]] = counts[0]["n"]
-    prob[0] = (n0 + 1) / (n0.sum() + 257)
-    for d in range(depth + 1):
-        own = slice(base[d], base[d + 1])
-        if d:
-            parent = base[d - 1] + np.searchsorted(codes[d - 1], codes[d] & (1 << 8 * (d - 1)) - 1)
-            step[own], prob[own] = step[parent], prob[parent]
-            t = counts[d]
-            if len(t["n"]):
-                row = base[d] + np.searchsorted(codes[d], t["ctx"])
-                n = np.zeros((base[d + 1] - base[d], width))
-                n[row - base[d], classes[t["x"]]] = t["n"]
-                of, kinds = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True)
-                has = of[:, 0] > 0
-                prob[own][has] = ((n + kinds * prob[own]) / np.maximum(1, of + kinds))[has]
-        if d < depth:
-            x = codes[d + 1] & 255
-            row = base[d] + np.searchsorted(codes[d], codes[d + 1] >> 8)
-            step[row, classes[x]] = base[d + 1] + np.arange(len(x))
-    cost = np.log10(prob)
-    cost[:, -1] = 0.0
-    step[:, -1] = 0
-    return Automaton(depth, classes.astype(np.uint8), width - 1, (step * width).astype(np.int32).ravel(), cost.astype(np.float32).ravel(), width)
-
-
-def score_block(m: Automaton, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """log10 probability of each text of a block."""
-    at, sym = symbols(offsets, data, m.depth)
-    cls = m.classes[sym]
-    sizes = np.diff(at) - m.depth  # scored symbols
-    chunks = -(-sizes // CHUNK)
-    owner = np.repeat(np.arange(len(sizes)), chunks)
-    nth = np.arange(len(owner)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
-    begin = at[owner] + nth * CHUNK
-    stop = np.minimum(begin + m.depth + CHUNK, at[owner + 1])
-    order = np.argsort(begin - stop, kind="stable")  # longest first: finished lanes are a tail that is cut off
-    begin, stop, owner = begin[order], stop[order], owner[order]
-    lane = stop - begin
-    state = np.zeros(len(begin), np.int32)
-    total = np.zeros(len(begin))
-    for i in range(int(lane[0]) if len(lane) else 0):
-        live = int(np.searchsorted(-lane, -i, "left"))
-        k = state[:live] + cls[begin[:live] + i]
-        if i >= m.depth:
-            total[:live] += m.cost[k]
-        state[:live] = m.step[k]
-    return np.bincount(owner, weights=total, minlength=len(sizes))
-
-
-def train(docs: DataFrame, depth: int = 5, gain: float = 12.0, max_states: int = 1 << 15) -> tuple[Automaton, DataFrame, int, int, int]:
-    """(automaton, word counts (key, c), tokens, distinct tokens, end tokens) of the texts of docs."""
+    levels: list[DataFrame]  # by depth: code (context, symbol), n, lp, and escape (log10) of a retained context
+    n_symbols: int
+    words: DataFrame  # key, c
+    tokens: int
+    kinds: int  # distinct tokens
+    ends: int
+
+    def unseen(self) -> float:
+        """log10 probability of a symbol that no training text holds."""
+        return -float(np.log10(self.n_symbols + SYMBOLS))
+
+
+def _low(column: str, n_bytes: int) -> Column:
+    return F.expr(f"{column} & {(1 << 8 * n_bytes) - 1}")
+
+
+def suffix_tree(grams: DataFrame, depth: int, gain: float) -> tuple[list[DataFrame], int]:
+    """(levels, symbols counted) from grams (code: depth + 1 bytes, n)."""
+    counts = [grams]
+    for d in range(depth - 1, -1, -1):
+        counts.insert(0, C.stage(counts[0].groupBy(_low("code", d + 1).alias("code")).agg(F.sum("n").alias("n")), f"counts{d}"))
+    total = counts[0].agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    lp = F.log10((F.col("n") + 1) / F.lit(float(total + SYMBOLS)))
+    levels = [C.stage(counts[0].select("code", "n", lp.alias("lp"), F.lit(None).cast("double").alias("escape")), "level0")]
+    for d in range(1, depth + 1):
+        above = levels[-1].select(F.col("code").alias("suffix"), F.col("lp").alias("up"))
+        rows = counts[d].withColumn("suffix", _low("code", d)).join(above, "suffix").withColumn("context", F.shiftright("code", 8))
+        w = Window.partitionBy("context")  # a context has at most 256 symbols
+        of, kinds = F.sum("n").over(w), F.count("*").over(w)
+        more = F.sum(F.col("n") * (F.log("n") - F.col("up") * float(np.log(10)))).over(w) - of * F.log(of)
+        rows = rows.withColumn("of", of).withColumn("kinds", kinds).withColumn("kept", F.round(more, 6) >= gain)
+        lp = F.when(F.col("kept"), F.log10((F.col("n") + F.col("kinds") * F.pow(F.lit(10.0), F.col("up"))) / (F.col("of") + F.col("kinds")))).otherwise(F.col("up"))
+        escape = F.when(F.col("kept"), F.log10(F.col("kinds") / (F.col("of") + F.col("kinds"))))
+        levels.append(C.stage(rows.select("code", "n", lp.alias("lp"), escape.alias("escape")), f"level{d}"))
+    return levels, total
+
+
+def frequent(df: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows of df whose count is large, at most `most` of them: cut where a histogram of logarithms says so."""
+    step = F.floor(F.log2(count) * 16).cast("int")
+    hist = sorted(df.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min(count).alias("least")).collect(), key=lambda r: -r["step"])  # a fixed number of steps
+    held, cut = 0, None
+    for r in hist:
+        held += r["n"]
+        if held > most:
+            break
+        cut = r["least"]
+    return df.filter(F.col(count) >= cut) if cut is not None else df.limit(0)
+
+
+class Lookup:
+    """A hash table of 64-bit keys with float values, read by arrays of keys."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 4))))
+        self.keys, self.values, self.full = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits), np.zeros(1 << self.bits, bool)
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = left[~self.full[slot[left]]]
+            own, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self.keys[own], self.values[own], self.full[own] = keys[put], values[put], True
+            left = np.setdiff1d(left, put, assume_unique=True)
+            slot[left] = slot[left] + 1 & (1 << self.bits) - 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (C.mix(keys) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(found, value or 0)."""
+        slot = self._slot(keys)
+        found = (self.keys[slot] == keys) & self.full[slot]
+        value = np.where(found, self.values[slot], 0.0)
+        left = np.flatnonzero(~found & self.full[slot])
+        while len(left):
+            slot[left] = slot[left] + 1 & (1 << self.bits) - 1
+            at = slot[left]
+            hit = self.full[at] & (self.keys[at] == keys[left])
+            found[left[hit]], value[left[hit]] = True, self.values[at[hit]]
+            left = left[~hit & self.full[at]]
+        return found, value
+
+
+def train(docs: DataFrame, depth: int = 5, gain: float = 6.0) -> Model:
+    """The model of the texts of docs."""
     C.bound_batches(docs.sparkSession)
     raw = docs.select("text").mapInArrow(_counter(depth), "kind int, key long, n long")
     counts = C.stage(raw.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     words = counts.filter(F.col("kind") == WORD_KIND).select("key", F.col("n").alias("c"))
     r = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
     ends = counts.filter(F.col("kind") == DOC_KIND).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    model = suffix_tree(counts.filter(F.col("kind") == GRAM_KIND).select("key", "n"), depth, gain, max_states)
-    return model, words, r["n"] + ends, r["v"] + (ends > 0), ends
-
-
-def score(docs: DataFrame, model: Automaton, words: DataFrame, n: int, v: int, ends: int, hot: int = 1 << 18) -> DataFrame:
+    levels, total = suffix_tree(counts.filter(F.col("kind") == GRAM_KIND).select(F.col("key").alias("code"), "n"), depth, gain)
+    return Model(depth, levels, total, words, r["n"] + ends, r["v"] + (ends > 0), ends)
+
+
+def looked_up(missed: DataFrame, model: Model) -> DataFrame:
+    """(rid, lp): the log10 probabilities of missed (rid, code), summed by row and level."""
+    pending, parts = missed.withColumn("spent", F.lit(0.0)), []
+    for d in range(model.depth, -1, -1):
+        both = pending.join(model.levels[d].select("code", "lp"), "code", "left")
+        if d == 0:
+            parts.append(both.select("rid", (F.col("spent") + F.coalesce("lp", F.lit(model.unseen()))).alias("lp")))
+            break
+        both = C.stage(both, f"looked{d}")
+        parts.append(both.filter("lp IS NOT NULL").select("rid", (F.col("spent") + F.col("lp")).alias("lp")))
+        pending = both.filter("lp IS NULL")
+        if pending.isEmpty():
+            break
+        # the symbol was not seen in this context: if that is retained the way to its suffix costs its escape
+        escapes = model.levels[d].filter("escape IS NOT NULL").groupBy(F.shiftright("code", 8).alias("context")).agg(F.min("escape").alias("escape"))
+        pending = pending.withColumn("context", F.shiftright("code", 8)).join(escapes, "context", "left")
+        pending = pending.select("rid", _low("code", d).alias("code"), (F.col("spent") + F.coalesce("escape", F.lit(0.0))).alias("spent"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def score(docs: DataFrame, model: Model, hot_words: int = 1 << 18, hot_grams: int = 1 << 20) -> DataFrame:
     """One row per row of docs (doc_id, held_out, text): the counts and scores of the contract."""
     spark = docs.sparkSession
     C.bound_batches(spark)
-    top = words.orderBy(F.desc("c"), "key").limit(hot).toArrow().sort_by("key")  # a fixed number of words
+    n, v, ends, depth = model.tokens, model.kinds, model.ends, model.depth
+    # a bounded number of words and grams
+    top = frequent(model.words, "c", hot_words).toArrow()
+    grams = frequent(model.levels[depth], "n", hot_grams).select("code", "lp").toArrow()
     key, count = (top[c].to_numpy().astype(np.int64) for c in ("key", "c"))
-    shared = spark.sparkContext.broadcast((model, key, count))
+    code, lp = grams["code"].to_numpy().astype(np.int64).view(np.uint64), grams["lp"].to_numpy().astype(float)
+    shared = spark.sparkContext.broadcast((key, np.log10((count + 1) / (n + v + 1)), code, lp))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, key, count = shared.value
-        gain = np.log10((count + 1) / (n + v + 1))
+        key, gain, code, lp = shared.value
+        word_table, gram_table = Lookup(key.view(np.uint64), gain), Lookup(code, lp)
         for batch in batches:
-            n_tokens, known, base, score, rare, rare_at = [], [], [], [], [], []
+            n_tokens, known, base, score, rare, rare_at, missed, missed_at = [], [], [], [], [], [], [], []
             for _, rows, offsets, data in C.text_blocks(batch.column("text")):
                 counts, ws = C.words_of(offsets, data)
                 owner = np.repeat(np.arange(rows), counts)
-                ws = ws.view(np.int64)
-                at = np.minimum(np.searchsorted(key, ws), max(0, len(key) - 1))
-                hit = key[at] == ws if len(key) else np.zeros(len(ws), bool)
+                hit, cost = word_table.get(ws)
                 n_tokens.append(counts + 1)
                 known.append(np.bincount(owner[hit], minlength=rows) + (ends > 0))
-                base.append(np.bincount(owner[hit], weights=gain[at[hit]] if len(key) else None, minlength=rows) + np.log10((ends + 1) / (n + v + 1)))
-                score.append(score_block(model, offsets, data))
-                rare.append(ws[~hit])
+                base.append(np.bincount(owner, weights=cost, minlength=rows) + np.log10((ends + 1) / (n + v + 1)))
+                rare.append(ws[~hit].view(np.int64))
                 rare_at.append(np.bincount(owner[~hit], minlength=rows))
+                counts, codes = grams_of(offsets, data, depth)
+                owner = np.repeat(np.arange(rows), counts)
+                hit, cost = gram_table.get(codes)
+                score.append(np.bincount(owner, weights=cost, minlength=rows))
+                missed.append(codes[~hit].view(np.int64))
+                missed_at.append(np.bincount(owner[~hit], minlength=rows))
             cat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-            place = np.concatenate([[0], np.cumsum(cat(rare_at, np.int64))]).astype(np.int32)
+            lists = lambda at, values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(cat(at, np.int64))]).astype(np.int32)), pa.array(cat(values, np.int64)))
             yield C.arrow_rows(
                 rid=batch.column("rid"), doc_id=batch.column("doc_id"), held_out=batch.column("held_out"), n_tokens=pa.array(cat(n_tokens, np.int64)), hot_known=pa.array(cat(known, np.int64)),
-                hot_base=pa.array(cat(base, float)), score=pa.array(cat(score, float)), rare=pa.ListArray.from_arrays(pa.array(place), pa.array(cat(rare, np.int64))),
+                hot_base=pa.array(cat(base, float)), hot_score=pa.array(cat(score, float)), rare=lists(rare_at, rare), missed=lists(missed_at, missed),
             )
 
-    kind = "rid long, doc_id long, held_out boolean, n_tokens long, hot_known long, hot_base double, score double, rare array<long>"
+    kind = "rid long, doc_id long, held_out boolean, n_tokens long, hot_known long, hot_base double, hot_score double, rare array<long>, missed array<long>"
     scored = C.stage(docs.withColumn("rid", F.monotonically_increasing_id()).select("rid", "doc_id", "held_out", "text").mapInArrow(run, kind), "scored")
     rare = scored.select("rid", F.explode("rare").alias("key")).groupBy("rid", "key").agg(F.count("*").alias("m"))
-    rare = rare.join(words, "key", "left").groupBy("rid").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("m")).otherwise(0)).alias("more"), F.sum(F.col("m") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(n + v + 1)))).alias("rest"))
-    out = scored.drop("rare").join(rare, "rid", "left")
+    rare = rare.join(model.words, "key", "left").groupBy("rid").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("m")).otherwise(0)).alias("more"), F.sum(F.col("m") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(n + v + 1)))).alias("rest"))
+    missed = looked_up(scored.select("rid", F.explode("missed").alias("code")), model).groupBy("rid").agg(F.sum("lp").alias("lp"))
+    out = scored.drop("rare", "missed").join(rare, "rid", "left").join(missed, "rid", "left")
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("hot_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        F.round(F.col("hot_base") + F.coalesce("rest", F.lit(0.0)), 6).alias("base_score"), F.round("score", 6).alias("score"),
+        F.round(F.col("hot_base") + F.coalesce("rest", F.lit(0.0)), 6).alias("base_score"), F.round(F.col("hot_score") + F.coalesce("lp", F.lit(0.0)), 6).alias("score"),
     )
 
 
 def op6_suffixlm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.pick(C.table(spark, sf_dir, "documents"), doc_id="long", text="string").withColumn("held_out", C.remainder("doc_id", 7) == 2)
-    return score(docs, *train(docs.filter(~F.col("held_out"))))
+    return score(docs, train(docs.filter(~F.col("held_out"))))
 
 
 QUERIES = {"op6_suffixlm": op6_suffixlm}

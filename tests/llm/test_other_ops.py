@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gridscribe.llm import chat, common as C, media, mixing, pii, quality, suffixlm, tokencounts
+from gridscribe.llm import chat, common as C, media, pii, quality, tokencounts
 from test_text_ops import DOCS, ODD, words
 
 SMALL = "/root/testdata/sf0.001"
@@ -168,44 +168,6 @@ def test_media_query(spark, odd):
     assert media.digests(media.stored(odd.limit(0))).count() == 0
 
 
-# ---- language model ------------------------------------------------------------------------------------------------------------
-
-
-def test_language_model_counts_and_scores(spark):
-    docs = C.pick(C.table(spark, SMALL, "documents"), doc_id="long", text="string").withColumn("held_out", C.remainder("doc_id", 7) == 2)
-    trained = suffixlm.train(docs.filter(~F.col("held_out")), depth=3, gain=4.0, max_states=500)
-    model = trained[0]
-    for hot in (1 << 18, 50):
-        rows = {r["doc_id"]: r for r in suffixlm.score(docs, *trained, hot=hot).collect()}
-        texts = {r[0]: r[1] for r in docs.select("doc_id", "text").collect()}
-        counts = Counter(w for d, t in texts.items() if not rows[d]["held_out"] for w in [*words(t), "\n"])
-        n, v = sum(counts.values()), len(counts)
-        for d, t in texts.items():
-            own = [*words(t), "\n"]
-            r = rows[d]
-            assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(own), sum(counts[w] > 0 for w in own), n)
-            assert abs(r["base_score"] - sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in own)) < 1e-4
-    probs = 10 ** model.cost.reshape(-1, model.n_classes)[:, :-1].astype(float)
-    other = 256 - (model.n_classes - 2)
-    assert np.allclose(probs[:, :-1].sum(1) + other * probs[:, -1] + probs[0, -1] * (probs[:, -1] / probs[0, -1]), 1, atol=1e-3)
-    for d, t in list(texts.items())[:5]:  # the state is always the longest state that is a suffix: walk one symbol at a time
-        data = np.frombuffer(t.encode(), np.uint8)
-        _, sym = suffixlm.symbols(np.array([0, len(data)]), data, model.depth)
-        state, total = 0, 0.0
-        for i, c in enumerate(model.classes[sym]):
-            total += model.cost[state + c] if i >= model.depth else 0
-            state = model.step[state + c]
-        assert abs(total - rows[d]["score"]) < 1e-2
-
-
-def test_language_model_odd_rows(spark, odd):
-    docs = odd.select("doc_id", "text").withColumn("held_out", F.lit(False))
-    rows = suffixlm.score(docs, *suffixlm.train(docs)).collect()
-    assert len(rows) == len(ODD) and {r["doc_id"]: r["n_tokens"] for r in rows}[1] == 1
-    empty = suffixlm.score(docs, *suffixlm.train(docs.limit(0))).collect()
-    assert all(r["n_known"] == 0 and r["train_tokens"] == 0 for r in empty)
-
-
 # ---- rollups -------------------------------------------------------------------------------------------------------------------
 
 
