@@ -1,14 +1,17 @@
 """Chat formatting (operator 1): schema fingerprints choose declarative mappings to canonical turns, a template renders them.
 
-A row's fingerprint is the SHA-256 of the sorted paths of its populated nested fields (`messages[].role`). A registry maps
-fingerprints to layouts; each layout says declaratively where roles and texts lie. Everything is native: the chosen layout is
-a CASE over fingerprints, so rows of many layouts pass in one scan without a shuffle.
+A row's fingerprint is the SHA-256 of the sorted paths of its populated nested fields (`messages[].role`); a list that is there
+but holds nothing counts as `messages[]`. A registry maps fingerprints to layouts; each layout says declaratively where roles
+and texts lie. Everything is native: the chosen layout is a CASE over fingerprints, so rows of many layouts pass in one
+scan without a shuffle.
 
 The template is `<|im_start|>ROLE\\nTEXT<|im_end|>\\n`. A text cannot forge a mark: each `<` + backslashes + `|` gets one more
-backslash, which parsing takes away again; in roles, backslashes and line feeds are escaped as well.
+backslash, which parsing takes away again; in roles, backslashes and line feeds are escaped as well (`\\-` and `\\n`).
 
-Defined results: a null text or role is empty; rows of an unknown layout keep null turns and a null layout; an empty or
-null list of messages has no turns; ties of (conv_id, turn) are ordered by role and text, repeated rows are turns of
+A conversation is one output text, so its turns meet in one row: a conversation of many GB is one task's, by contract.
+
+Defined results: a null text or role is empty, also where all of a list are null; rows of an unknown layout keep null turns
+and a null layout, and so do rows whose list is null; an empty list of messages has no turns; ties of (conv_id, turn) are ordered by role and text, repeated rows are turns of
 their own; an empty table gives no rows beside those added; extra columns are ignored.
 """
 
@@ -43,16 +46,23 @@ class Layout:
     roles: dict = field(default_factory=lambda: ROLES, hash=False)
 
     def paths(self) -> list[str]:
-        out = [p for _, ps in self.fixed for p in ps if p not in self.optional]
+        """The paths that a row of the layout must have, beside its list's."""
+        return [p for _, ps in self.fixed for p in ps if p not in self.optional]
+
+    def lists(self) -> list[list[str]]:
+        """What a row's list may show: its fields, some of them, or nothing inside."""
         if self.messages:
-            out += [f"{self.messages}[].{self.role}", f"{self.messages}[].{self.text}"]
-        if self.pairs:
-            out.append(f"{self.pairs}[][]")
-        return out
+            role, text = f"{self.messages}[].{self.role}", f"{self.messages}[].{self.text}"
+            return [[role, text], [role], [text], [f"{self.messages}[]"]]
+        return [[f"{self.pairs}[][]"], [f"{self.pairs}[]"]] if self.pairs else [[]]
 
     def fingerprints(self) -> list[str]:
         must, may = self.paths(), list(self.optional)
-        return [fingerprint_of([*must, *(p for i, p in enumerate(may) if bits >> i & 1)]) for bits in range(1 << len(may))]
+        return [fingerprint_of([*must, *shown, *(p for i, p in enumerate(may) if bits >> i & 1)]) for shown in self.lists() for bits in range(1 << len(may))]
+
+    def tops(self) -> list[str]:
+        """The columns that the layout needs."""
+        return [p.split("[")[0].split(".")[0] for p in [*self.paths(), *(x for x in (self.messages, self.pairs) if x)]]
 
     def turns(self) -> Column:
         one = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("text"))
@@ -92,11 +102,19 @@ def _populated(kind: T.DataType, value: Column, path: str) -> list[tuple[str, Co
     if isinstance(kind, T.StructType):
         return [x for f in kind.fields for x in _populated(f.dataType, value[f.name], f"{path}.{f.name}" if path else f.name)]
     if isinstance(kind, T.ArrayType):
-        leaves = _populated(kind.elementType, value, f"{path}[]")
         if isinstance(kind.elementType, T.StructType):
             holds = lambda name: F.coalesce(F.exists(value, lambda e: e[name].isNotNull()), F.lit(False))
-            return [(f"{path}[].{f.name}", holds(f.name)) for f in kind.elementType.fields]
-        return [(p, F.size(F.coalesce(value, F.array())) > 0) for p, _ in leaves]
+            own = [(f"{path}[].{f.name}", holds(f.name)) for f in kind.elementType.fields]
+        else:
+            inner, leaf = kind.elementType, f"{path}[]"
+            while isinstance(inner, T.ArrayType):
+                inner, leaf = inner.elementType, f"{leaf}[]"
+            some = F.coalesce(F.exists(value, lambda e: e.isNotNull()), F.lit(False))
+            return [(leaf, some), *([(f"{path}[]", value.isNotNull() & ~some)] if leaf != f"{path}[]" else [])]
+        some = F.lit(False)
+        for _, has in own:
+            some = some | has
+        return [*own, (f"{path}[]", value.isNotNull() & ~some)]
     return [(path, value.isNotNull())]
 
 
@@ -111,11 +129,11 @@ def fingerprint(schema: T.StructType, fields: Sequence[str]) -> Column:
 def canonical_turns(df: DataFrame, layouts: Sequence[Layout] = LAYOUTS) -> DataFrame:
     """df with fingerprint, layout (name) and turns (array of role, text)."""
     schema = df.schema
-    tops = sorted({p.split("[")[0].split(".")[0] for x in layouts for p in [*x.paths(), *x.optional]})
+    tops = sorted({p for x in layouts for p in [*x.tops(), *x.optional]})
     out = df.withColumn("fingerprint", fingerprint(schema, tops))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for x in layouts:
-        if all(p.split("[")[0].split(".")[0] in schema.names for p in x.paths()):
+        if all(p in schema.names for p in x.tops()):
             missing = [p for p in x.optional if p not in schema.names]
             wide = Layout(**{**x.__dict__, "fixed": tuple((r, tuple(p for p in ps if p not in missing)) for r, ps in x.fixed if any(p not in missing for p in ps))})
             hit = F.col("fingerprint").isin(*x.fingerprints())
@@ -132,13 +150,12 @@ def unescape(text: Column) -> Column:
 
 
 def escape_role(role: Column) -> Column:
-    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")))
+    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\-")), F.lit("\n"), F.lit("\\n")))
 
 
 def unescape_role(role: Column) -> Column:
-    # `\\n` is a backslash and an n, `\n` a line feed: pairs of backslashes step aside first
-    one = F.replace(F.replace(unescape(role), F.lit("\\\\"), F.lit("\0\0")), F.lit("\\n"), F.lit("\n"))
-    return F.replace(one, F.lit("\0\0"), F.lit("\\"))
+    # a backslash is followed by `-` (it is meant) or by `n` (a line feed)
+    return F.replace(F.replace(unescape(role), F.lit("\\n"), F.lit("\n")), F.lit("\\-"), F.lit("\\"))
 
 
 def render(turns: Column) -> Column:
