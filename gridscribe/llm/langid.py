@@ -1,11 +1,11 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams (operator 2).
 
-Training counts hashed byte n-grams of UTF-8 text per language on a bounded, hash-drawn sample of labelled rows
+Training counts hashed n-grams of characters per language on a bounded, hash-drawn sample of labelled rows
 (`per_label`, a parameter); the smoothed log-probability matrix has a fixed size (labels x buckets) and is broadcast.
 Scoring covers every whole text: n-gram hashes gather rows of the matrix and are summed per document in numpy.
 
-The text is lower-cased (A-Z), each run of anything but letters becomes one blank; n-grams of 1 to 4 bytes therefore see word
-starts and ends. No column but text enters a prediction.
+UTF-8 is decoded to code points, these are lower-cased one by one, each run of anything but letters and their marks becomes
+one blank; n-grams of 1 to 4 characters therefore see word starts and ends. No column but text enters a prediction.
 
 Defined results: null texts and texts without a letter are `und` with score 0; rows of null language are not learned
 from; ties go to the label first in code-point order; without any labelled row everything is `und`; repeated rows are
@@ -14,6 +14,7 @@ scored alike; extra columns are ignored.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,10 +26,34 @@ from pyspark.sql import functions as F
 from . import common as C
 
 ORDERS, BITS = (1, 2, 3, 4), 16
-
-#: Bytes that count as blank: ASCII that is no letter. Bytes of multi-byte characters stay.
-_FOLD = C.TO_LOWER.copy()
-_FOLD[:128][~((_FOLD[:128] >= 97) & (_FOLD[:128] <= 122))] = 32
+_folded: list[np.ndarray] = []
+
+
+def folded() -> np.ndarray:
+    """Code point -> its lower-case code point; a blank for what is neither letter nor mark. One table for planes 0 and 1."""
+    if not _folded:
+        out = np.full(1 << 17, 32, np.uint32)
+        for c in range(len(out)):
+            ch = chr(c)
+            if ch.isalpha() or unicodedata.category(ch)[0] == "M":
+                low = ch.lower()
+                out[c] = ord(low) if len(low) == 1 else c
+        _folded.append(out)
+    return _folded[0]
+
+
+def characters(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(characters per text, code points) of UTF-8 texts; a stray continuation byte is part of the character before it."""
+    lead = (data & 0xC0) != 0x80
+    lead[offsets[:-1][np.diff(offsets) > 0]] = True
+    at = np.flatnonzero(lead)
+    size = np.diff(np.append(at, len(data)))
+    first = data[at].astype(np.uint32)
+    code = np.where(first < 0x80, first, np.where(first < 0xE0, first & 0x1F, np.where(first < 0xF0, first & 0x0F, first & 0x07)))
+    for k in (1, 2, 3):
+        more = np.flatnonzero((size > k) & (first >= (0xC0, 0xE0, 0xF0)[k - 1]))
+        code[more] = code[more] << np.uint32(6) | (data[at[more] + k] & 0x3F)
+    return np.searchsorted(at, offsets[1:]) - np.searchsorted(at, offsets[:-1]), code
 
 
 @dataclass
@@ -40,22 +65,23 @@ class Model:
 
 def ngrams(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, text) of all n-grams of a block of texts; none crosses from one text to the next."""
-    lens = np.diff(offsets)
+    lens, code = characters(offsets, data)
     owner = np.repeat(np.arange(len(lens), dtype=np.int32), lens)
-    low = _FOLD[data]
+    table = folded()
+    low = np.where(code < len(table), table[np.minimum(code, len(table) - 1)], code)
     keep = np.ones(len(low), bool)
     keep[1:] = (low[1:] != 32) | (low[:-1] != 32) | (owner[1:] != owner[:-1])
-    low, owner = low[keep].astype(np.uint32), owner[keep]
+    low, owner = low[keep], owner[keep]
     out, own = [], []
-    code = np.zeros(len(low), np.uint32)
+    h = np.zeros(len(low), np.uint32)
     for n in range(1, max(ORDERS) + 1):
         if n > len(low):
             break
         size = len(low) - n + 1
-        code = (code[:size] << np.uint32(8)) | low[n - 1 :]
+        h = h[:size] * np.uint32(0x01000193) + low[n - 1 :]
         if n not in ORDERS:
             continue
-        bucket = ((code ^ np.uint32(n * 0x51ED27)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
+        bucket = ((h ^ np.uint32(n * 0x51ED27)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
         whole = owner[:size] == owner[n - 1 :]
         out.append(bucket[whole])
         own.append(owner[:size][whole])
@@ -63,32 +89,16 @@ def ngrams(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per label: its documents and its n-grams per bucket, of one partition."""
-    docs: dict[str, int] = {}
-    grams: dict[str, np.ndarray] = {}
+    """(lang, bucket, n): the n-grams of the labels in one batch's blocks; bucket -1 counts documents."""
     for batch in batches:
         langs = np.asarray(batch.column("lang").to_pylist(), object)
         for first, rows, offsets, data in C.text_blocks(batch.column("text")):
             bucket, owner = ngrams(offsets, data)
-            part = langs[first : first + rows]
-            for lang in dict.fromkeys(part):
-                own = part == lang
-                docs[lang] = docs.get(lang, 0) + int(own.sum())
-                held = np.bincount(bucket[own[owner]], minlength=1 << BITS)
-                grams[lang] = grams[lang] + held if lang in grams else held
-    if docs:
-        yield C.arrow_rows(lang=pa.array(list(docs)), docs=pa.array(list(docs.values()), pa.int64()), grams=pa.array([grams[x].astype(np.int64).tobytes() for x in docs], pa.binary()))
-
-
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[str, list] = {}
-    for batch in batches:
-        for lang, n, grams in zip(batch.column("lang").to_pylist(), batch.column("docs").to_pylist(), batch.column("grams").to_pylist(), strict=True):
-            have = total.setdefault(lang, [0, np.zeros(1 << BITS, np.int64)])
-            have[0] += n
-            have[1] += np.frombuffer(grams, np.int64)
-    if total:
-        yield C.arrow_rows(lang=pa.array(list(total)), docs=pa.array([x[0] for x in total.values()], pa.int64()), grams=pa.array([x[1].tobytes() for x in total.values()], pa.binary()))
+            names, code = np.unique(langs[first : first + rows].astype(str), return_inverse=True)
+            key, n = np.unique(code[owner].astype(np.int64) << BITS | bucket, return_counts=True)
+            docs = np.bincount(code, minlength=len(names))
+            lang = np.concatenate([names[key >> BITS], names])
+            yield C.arrow_rows(lang=pa.array(lang.tolist(), pa.string()), bucket=pa.array(np.concatenate([key & (1 << BITS) - 1, np.full(len(names), -1)]).astype(np.int32)), n=pa.array(np.concatenate([n, docs]).astype(np.int64)))
 
 
 def train(docs: DataFrame, per_label: int = 4000, alpha: float = 0.5, seed: int = 2) -> Model:
@@ -105,17 +115,17 @@ def train(docs: DataFrame, per_label: int = 4000, alpha: float = 0.5, seed: int
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_label / n))).otherwise(share)
     sample = known.filter(draw < share).select("lang", "text")
-    kind = "lang string, docs long, grams binary"
-    rows = sample.mapInArrow(_count, kind).groupBy("lang").applyInArrow(_add_table, kind).collect()
-    rows.sort(key=lambda r: r["lang"].encode())
-    counts = np.stack([np.frombuffer(r["grams"], np.int64) for r in rows], 1).astype(float) + alpha
+    # sparse counts are summed in the JVM; what comes here is a number per label and bucket, whatever the input
+    rows = sample.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    labels = sorted(sizes, key=str.encode)
+    place = {lang: i for i, lang in enumerate(labels)}
+    counts = np.full((1 << BITS, len(labels)), alpha)
+    bucket, lang, n = rows["bucket"].to_numpy(), np.array([place[x] for x in rows["lang"].to_pylist()], np.int64), rows["n"].to_numpy()
+    own = bucket >= 0
+    counts[bucket[own], lang[own]] += n[own]
     weights = np.log(counts) - np.log(counts.sum(0, keepdims=True))
-    n = np.array([sizes[r["lang"]] for r in rows], float)
-    return Model([r["lang"] for r in rows], np.log(n / n.sum()), weights.astype(np.float32))
-
-
-def _add_table(group: pa.Table) -> pa.Table:
-    return pa.Table.from_batches(list(_add(iter(group.to_batches()))))
+    prior = np.array([sizes[x] for x in labels], float)
+    return Model(labels, np.log(prior / prior.sum()), weights.astype(np.float32))
 
 
 def score_block(model: Model, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
