@@ -6,12 +6,14 @@ only: lines of good documents are good; those of bad documents start bad and are
 rounds of fitting (at least one line of a bad document stays bad). A document's score is the length-weighted mean of its
 lines' forward-backward marginals, calibrated by one logistic curve on the training documents.
 
-The fit uses a bounded, hash-drawn sample of labelled documents (`per_label` of each label); scoring covers every whole
-text, many documents in step.
+The fit uses a bounded, hash-drawn sample of labelled documents: about `per_label` of each label, in the order of their
+hashes as long as they have no more than `lines_per_label` lines together (what is longer teaches nothing). Scoring covers every
+whole text, many documents in step; of a text only three numbers a line and the chain's arrays are held, some 110 bytes a
+line, and its features in pieces of some MB.
 
 Defined results: a null or empty text is one empty line and gets that line's score; a labelled id without document and rows
 without label teach nothing; without any labelled row of both labels every score is 0.5; repeated rows are scored
-alike; repeated labels of an id count once (the least); extra columns are ignored.
+alike; repeated labels of an id count once (the least), of repeated ids the least text teaches; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ def _kind(chars: bytes) -> np.ndarray:
 _KINDS = [_kind(b"#$%&*^~<>{}[]=\\_@"), _kind(bytes(range(65, 91))), _kind(bytes(range(97, 123)) + bytes(range(128, 256))), _kind(bytes(range(48, 58))), _kind(b"|"), _kind(b"!"), _kind(b".,;:?")]
 N_OWN = len(_KINDS) + 6
 N_FEATURES = 1 + 3 * N_OWN
+PIECE = 2 << 20
 
 
 def line_features(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,6 +102,40 @@ class Field:
         """(P(bad) of each line, expected counts of label pairs, log partition)."""
         return chains(per, features @ self.unary, self.pair)
 
+    def pieces(self, own: np.ndarray) -> np.ndarray:
+        """What each line says about itself, the line after it and the line before it."""
+        return own @ self.unary[1:].reshape(3, N_OWN).T
+
+    def lines(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(lines per text, bytes per line, P(bad) of each line) of a block, features made in pieces between line feeds."""
+        breaks = np.flatnonzero(data == 10) + 1
+        cuts, last = [0], 0
+        for want in range(PIECE, len(data), PIECE):
+            k = int(np.searchsorted(breaks, want))
+            if k < len(breaks) and breaks[k] > last and breaks[k] < len(data):
+                last = int(breaks[k])
+                cuts.append(last)
+        cuts.append(len(data))
+        per, size, said = np.zeros(len(offsets) - 1, np.int64), [], []
+        for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            first = max(0, int(np.searchsorted(offsets, a, "right")) - 1) if i else 0
+            end = int(np.searchsorted(offsets, b, "left")) if i < len(cuts) - 2 else len(offsets) - 1
+            inner = np.clip(offsets[first : end + 1], a, b) - a
+            k, s, own = line_features(inner, data[a:b])
+            if i < len(cuts) - 2 and offsets[end] > b:  # the cut is behind a line feed: the empty rest is the next piece's first line
+                k[-1] -= 1
+                s, own = s[:-1], own[:-1]
+            per[first:end] += k
+            size.append(s)
+            said.append(self.pieces(own))
+        size, said = np.concatenate(size), np.concatenate(said)
+        begin = np.zeros(len(size), bool)
+        begin[np.cumsum(per) - per] = True
+        unary = self.unary[0] + said[:, 0]
+        unary[1:] += np.where(begin[1:], 0, said[:-1, 1])
+        unary[:-1] += np.where(begin[1:], 0, said[1:, 2])
+        return per, size, chains(per, unary, self.pair)[0]
+
     def score(self, per: np.ndarray, size: np.ndarray, bad: np.ndarray) -> np.ndarray:
         at = np.cumsum(per) - per
         share = np.add.reduceat(size * bad, at) / np.add.reduceat(size, at)
@@ -187,7 +224,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield C.arrow_rows(doc_id=pa.array(ids[first : first + rows], pa.int64()), label=pa.array(label[first : first + rows].astype(np.int32)), size=pa.array([p[0] for p in parts], pa.binary()), own=pa.array([p[1] for p in parts], pa.binary()))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = 1500, seed: int = 8) -> Field | None:
+def train(docs: DataFrame, labels: DataFrame, per_label: int = 1500, lines_per_label: int = 100_000, seed: int = 8) -> Field | None:
     """Fit on the documents of about per_label labelled ids of each label (doc_id, label), drawn by a hash of the id."""
     C.bound_batches(docs.sparkSession)
     labels = labels.filter("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"))
@@ -195,14 +232,22 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 1500, seed: int =
     if len(sizes) < 2:
         return None
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_003)) / 1_000_003.0
-    ids = labels.filter(draw < F.when(F.col("label") == 1, min(1.0, per_label / sizes[1])).otherwise(min(1.0, per_label / sizes[0])))
-    rows = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "label", "text").mapInArrow(_sampled, "doc_id long, label int, size binary, own binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["size"], r["own"]))
-    if len({r["label"] for r in rows}) < 2:
+    ids = labels.filter(draw < F.when(F.col("label") == 1, min(1.0, per_label / sizes[1])).otherwise(min(1.0, per_label / sizes[0]))).withColumn("draw", draw)
+    # about 2 * per_label rows; their lines are counted before any features come here
+    few = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label", "draw").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"))
+    few = C.stage(few.withColumn("n_lines", F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1), "quality-sample")
+    room, chosen = {0: lines_per_label, 1: lines_per_label}, []
+    for r in sorted(few.select("doc_id", "label", "draw", "n_lines").collect(), key=lambda r: (r["draw"], r["doc_id"])):
+        if r["n_lines"] <= room[r["label"]]:
+            room[r["label"]] -= r["n_lines"]
+            chosen.append(r["doc_id"])
+    rows = few.filter(F.col("doc_id").isin(chosen)).select("doc_id", "label", "text").mapInArrow(_sampled, "doc_id long, label int, size binary, own binary").toArrow().sort_by("doc_id")
+    label = rows["label"].to_numpy()
+    if len(set(label.tolist())) < 2:
         return None
-    size = [np.frombuffer(r["size"]) for r in rows]
-    own = np.concatenate([np.frombuffer(r["own"]).reshape(-1, N_OWN) for r in rows])
-    return fit(np.array([len(x) for x in size]), np.concatenate(size), own, np.array([r["label"] for r in rows]))
+    size = [np.frombuffer(x.as_py()) for x in rows["size"]]
+    own = np.concatenate([np.frombuffer(x.as_py()).reshape(-1, N_OWN) for x in rows["own"]])
+    return fit(np.array([len(x) for x in size]), np.concatenate(size), own, label)
 
 
 def predict(docs: DataFrame, field: Field | None, cut: float = 0.3) -> DataFrame:
@@ -218,9 +263,7 @@ def predict(docs: DataFrame, field: Field | None, cut: float = 0.3) -> DataFrame
             score = np.full(batch.num_rows, 0.5)
             if field is not None:
                 for first, rows, offsets, data in C.text_blocks(batch.column("text")):
-                    per, size, own = line_features(offsets, data)
-                    bad = field.marginals(per, with_neighbours(per, own))[0]
-                    score[first : first + rows] = field.score(per, size, bad)
+                    score[first : first + rows] = field.score(*field.lines(offsets, data))
             yield C.arrow_rows(**{n: batch.column(n) for n in names}, score=pa.array(score), predicted=pa.array((score >= cut).astype(np.int32)))
 
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
