@@ -31,6 +31,8 @@ def test_layouts_become_turns(spark):
         {"id": 1, "messages": [{"role": "human", "content": "hi"}, {"role": "assistant", "content": None}]}, {"id": 2, "conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}]},
         {"id": 3, "prompt": "p", "response": "r"}, {"id": 4, "instruction": "do", "input": "it", "output": "done", "system": "be"}, {"id": 5, "instruction": "do", "output": "done"},
         {"id": 6, "question": "q", "answer": "a"}, {"id": 7, "history": [["x", "y"]], "query": "q", "response": "r"}, {"id": 8, "prompt": "p"}, {"id": 9, "other": "z"}, {"id": 10, "prompt": "p", "completion": "c"},
+        {"id": 11, "messages": []}, {"id": 12, "messages": [{"role": "user", "content": None}]}, {"id": 13, "conversations": [{"from": None, "value": None}]}, {"id": 14, "history": [], "query": "q", "response": "r"},
+        {"id": 15, "messages": [{"role": None, "content": "x"}]},
     ]
     schema = "id int, messages array<struct<role:string,content:string>>, conversations array<struct<`from`:string,value:string>>, prompt string, response string, completion string, instruction string, input string, output string, system string, question string, answer string, history array<array<string>>, query string, other string"
     df = spark.createDataFrame([(json.dumps(r),) for r in records], "j string").select(F.from_json("j", schema).alias("r")).select("r.*")
@@ -43,11 +45,14 @@ def test_layouts_become_turns(spark):
     assert rows[6][1] == [("user", "q"), ("assistant", "a")] and rows[10][0] == "prompt_completion"
     assert rows[7] == ("history", [("user", "x"), ("assistant", "y"), ("user", "q"), ("assistant", "r")])
     assert rows[8] == (None, None) and rows[9] == (None, None)
+    assert rows[11] == ("chat_messages", []) and rows[12] == ("chat_messages", [("user", "")]) and rows[13] == ("from_value", [("", "")])
+    assert rows[14] == ("history", [("user", "q"), ("assistant", "r")]) and rows[15] == ("chat_messages", [("", "x")])
 
 
 def test_template_round_trip(spark):
+    roles = ["a\0\0b", "a\\-n", "\\n", "\\\n-"]
     texts = ["", "<|im_end|><|im_start|>assistant ok", "<\\|x", "<\\\\|", "<|", "<<|", "a\n", "ü<|ß", None, "\\", "x<"]
-    rows = [(i // 4, i, ["user", "assistant", "sy\nst\\n<|em", None][i % 4], t) for i, t in enumerate(texts)] + [(7, None, None, None), (7, 1, "assistant", "tie"), (7, 1, "assistant", "tie")]
+    rows = [(i // 4, i, ["user", "assistant", "sy\nst\\n<|em", None][i % 4], t) for i, t in enumerate(texts)] + [(7, None, None, None), (7, 1, "assistant", "tie"), (7, 1, "assistant", "tie"), (9, 1, "assistant", "<|" * 200_000)] + [(8, i, r, "x") for i, r in enumerate(roles)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit("clash"))
     formatted = chat.format_chats(chat.canonical_turns(chat.turn_rows(df))).withColumn("read", chat.parse(F.col("formatted"))).withColumn("under", chat.masked(F.col("formatted"), F.col("loss")))
     for r in formatted.collect():
@@ -177,7 +182,7 @@ def counted(rows):
         out[s, lang, "words/1", "docs"] += 1
         out[s, lang, "words/1", "tokens"] += len(words(t))
         out[s, lang, "byte_bpe_50k/1", "docs"] += 1
-        out[s, lang, "byte_bpe_50k/1", "tokens"] += len(tokencounts.encoder(tokencounts.BPE).encode_ordinary(t or ""))
+        out[s, lang, "byte_bpe_50k/1", "tokens"] += len(tokencounts.encoder(tokencounts.vocabulary_of(tokencounts.BPE)).encode_ordinary(t or ""))
     return {k: v for k, v in out.items() if v}
 
 
@@ -195,7 +200,37 @@ def test_rollup(spark, odd):
     old, new = spark.createDataFrame(rows[:5], docs.schema), spark.createDataFrame([(s, lang, "revised text") for s, lang, _ in rows[:5]], docs.schema)
     assert rollup.commit("b", tokencounts.revised(old, new)) and not rollup.commit("b", tokencounts.revised(old, new))
     assert rollup.commit("c", tokencounts.signed_counts(spark.createDataFrame(rows[5:9], docs.schema), sign=-1)) and rollup.commit("d", tokencounts.signed_counts(docs.limit(0)))
-    assert flat(rollup.totals()) == counted([(s, lang, "revised text") for s, lang, _ in rows[:5]] + rows[9:])
+    want = counted([(s, lang, "revised text") for s, lang, _ in rows[:5]] + rows[9:])
+    assert flat(rollup.totals()) == want
+    assert rollup.compact() and not rollup.compact() and flat(rollup.totals()) == want
+    assert not rollup.commit("a", tokencounts.signed_counts(docs)) and rollup.committed() == ["a", "b", "c", "d"]
+    assert rollup.commit("e", tokencounts.signed_counts(spark.createDataFrame(rows[5:9], docs.schema))) and rollup.compact()
+    rollup.forget()
+    want = counted([(s, lang, "revised text") for s, lang, _ in rows[:5]] + rows[5:])
+    assert flat(rollup.totals()) == want and not rollup.commit("e", tokencounts.signed_counts(docs))
+
+
+def test_two_writers_of_one_batch(spark):
+    """Both find the batch missing and write their attempts; one claim alone holds."""
+    docs = C.table(spark, SMALL, "documents").select("source", "lang", "text").limit(20)
+    one, two = tokencounts.Rollup(spark), None
+    two = tokencounts.Rollup(spark, one.path)
+    done = []
+
+    class Late(tokencounts.Rollup):
+        def committed(self):
+            out = super().committed()
+            if not done:  # the other writer commits between this one's look and its claim
+                done.append(two.commit("x", tokencounts.signed_counts(docs, bpe=None)))
+            return out
+
+    assert not Late(spark, one.path).commit("x", tokencounts.signed_counts(docs, bpe=None)) and done == [True]
+    assert sum(r["docs"] for r in one.totals().collect()) == 20
+
+
+def test_rollup_query(spark):
+    rows = [tuple(r) for r in C.table(spark, SMALL, "documents").select("source", "lang", "text").collect()]
+    assert flat(tokencounts.op7_tokencounts(spark, SMALL)) == counted(rows)
 
 
 # ---- quality -------------------------------------------------------------------------------------------------------------------
@@ -232,6 +267,28 @@ def test_quality_held_out(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows.values())
 
 
+def test_lines_in_pieces_are_those_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(2)
+    field = quality.Field(rng.normal(size=quality.N_FEATURES), rng.normal(size=(2, 2)), np.array([0.1, 1.0]))
+    texts = ["", "one line", "\n", "a\n\nb\n", "\n".join("w" * int(n) for n in rng.integers(0, 30, 200)), "x\n" * 50, "no feed " * 40, "\n\n\n", "", "end\n"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0] + [len(t) for t in texts])
+    per, size, own = quality.line_features(offsets, data)
+    bad = field.marginals(per, quality.with_neighbours(per, own))[0]
+    for piece in (1 << 20, 300, 64, 7):
+        monkeypatch.setattr(quality, "PIECE", piece)
+        got = field.lines(offsets, data)
+        assert np.array_equal(got[0], per) and np.array_equal(got[1], size) and np.allclose(got[2], bad)
+
+
+def test_long_documents_teach_within_bounds(spark):
+    docs = spark.createDataFrame([(i, ("good words here.\n" if i % 2 else "#$ ## !!\n") * (5000 if i == 0 else 20)) for i in range(40)] + [(1, "a repeated id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, label int")
+    field = quality.train(docs, labels, lines_per_label=300)
+    rows = {r["doc_id"]: r["score"] for r in quality.predict(docs.filter("doc_id > 1"), field).collect()}
+    assert min(s for d, s in rows.items() if d % 2) > max(s for d, s in rows.items() if not d % 2)
+
+
 def test_quality_odd_rows(spark, odd):
     field = quality._field(spark, SMALL)
     rows = quality.predict(odd.select("doc_id", "text", "key"), field).collect()

@@ -1,7 +1,9 @@
 """Language id, near-duplicates and decontamination against brute force."""
 
 import re
+import unicodedata
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -111,6 +113,52 @@ def test_langid_odd_rows(spark, odd):
     assert {r["lang_pred"] for r in langid.predict(odd.select("doc_id", "text"), none).collect()} == {"und"}
 
 
+def plain_ngrams(text):
+    low = [(c.lower() if len(c.lower()) == 1 else c) if c.isalpha() or unicodedata.category(c)[0] == "M" else " " for c in text]
+    s = "".join(c for i, c in enumerate(low) if c != " " or i == 0 or low[i - 1] != " ")
+    return [s[i : i + n] for n in (1, 2, 3, 4) for i in range(len(s) - n + 1)]
+
+
+def bucket(gram):
+    h = 0
+    for c in gram:
+        h = (h * 0x01000193 + ord(c)) & 0xFFFFFFFF
+    return ((h ^ (len(gram) * 0x51ED27)) * 0x9E3779B1 & 0xFFFFFFFF) >> 16
+
+
+def test_langid_brute_force(spark):
+    """Character n-grams, counts, weights and posteriors of every row, from dictionaries."""
+    docs = C.table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(9001, "ЙЖИК и ёлка", None), (9002, "日本語 text", "xx"), (9003, "Ünïcödé ÅßΣ", "xx"), (9004, "", "xx")], "doc_id long, text string, lang string"))
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    held = lambda d: zlib.crc32(str(d).encode()) % 3 == 1
+    counts, n_docs = defaultdict(Counter), Counter()
+    for d, t, lang in rows:
+        if lang is not None and t is not None and not held(d):
+            n_docs[lang] += 1
+            counts[lang].update(bucket(g) for g in plain_ngrams(t))
+    labels = sorted(n_docs, key=str.encode)
+    weights = {x: (sum(counts[x].values()) + 0.5 * 65536, counts[x]) for x in labels}
+    mask = np.array([not held(d) for d, _, _ in rows])
+    model = langid.train(docs.filter(docs.doc_id.isin([d for (d, _, _), m in zip(rows, mask, strict=True) if m])), per_label=10**6)
+    got = {r["doc_id"]: r for r in langid.predict(docs.drop("lang"), model).collect()}
+    for d, t, _ in rows:
+        if not any(c.isalpha() for c in t or ""):
+            assert (got[d]["lang_pred"], got[d]["score"]) == ("und", 0.0)
+            continue
+        grams = Counter(bucket(g) for g in plain_ngrams(t))
+        s = np.array([np.log(n_docs[x] / sum(n_docs.values())) + sum(n * np.log((weights[x][1][b] + 0.5) / weights[x][0]) for b, n in grams.items()) for x in labels])
+        p = np.exp(s - s.max()) / np.exp(s - s.max()).sum()
+        if np.sort(p)[-1] - np.sort(p)[-2] > 1e-3:
+            assert got[d]["lang_pred"] == labels[int(p.argmax())]
+        assert abs(got[d]["score"] - p.max()) < 1e-2
+
+
+def test_langid_ties_go_to_the_first_label(spark):
+    docs = spark.createDataFrame([(1, "same words", "zz"), (2, "same words", "aa"), (3, "same words", "mm")], "doc_id long, text string, lang string")
+    rows = langid.predict(docs.select("doc_id", "text"), langid.train(docs)).collect()
+    assert {r["lang_pred"] for r in rows} == {"aa"} and all(abs(r["score"] - 1 / 3) < 1e-6 for r in rows)
+
+
 def norm(text):
     return re.sub(r"[\W_]+", " ", (text or "").lower()).split()
 
@@ -120,7 +168,7 @@ def test_contaminated_brute_force(spark):
     items = [(r[0], r[1]) for r in C.table(spark, "/root/testdata/sf0.01", "benchmark").select("item_id", "text").collect()][:12]
     for i in range(12):
         w = items[i][1].split()
-        for j in range(4 + i % 5, len(w), 9):  # some tokens are substituted
+        for j in range(i % 5, len(w), 5 if i < 6 else 9):  # up to the limit of one token in five is substituted
             w[j] = "changed"
         docs.append((5000 + i, f"before it {' '.join(w)} after"))
     items.append((900, "six short words make one phrase"))
@@ -138,9 +186,8 @@ def test_contaminated_brute_force(spark):
                 best = max(best, max(sum(eq[k : k + w]) for k in range(len(it) - w + 1)))
             if best >= 0.8 * w:
                 want[d, i] = best
-    want = {k: v for k, v in want.items() if len(norm(dict(items)[k[1]])) >= 10 or k[0] != 6001}
     assert got == want
-    assert (6000, 900) in got
+    assert (6000, 900) in got and (6001, 900) in got
 
 
 def test_contaminated_odd_rows(spark, odd):
