@@ -6,9 +6,14 @@ regular expression that runs inside the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: A tokenizer is what counts the tokens of a column of texts; it may be a Pandas UDF over a vocabulary.
+Sizer = Callable[[Column], Column]
+
 #: Special marks, runs of letters and digits, or one other character; over lower-cased text.
 TOKEN = r"\[sep\]|\[[ec][0-9]+\]|[\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}]"
 #: Limits of the encoder's window, in tokens.
@@ -32,10 +37,16 @@ def token_size(text: Column) -> Column:
     return F.size(tokens(text))
 
 
-def truncated(text: Column, most: int) -> tuple[Column, Column]:
-    """(text, size): texts of `most` tokens or more become their first tokens, joined by blanks."""
-    size = token_size(text)
-    return F.when(size >= most, F.array_join(F.slice(tokens(text), 1, most), " ")).otherwise(text), F.least(size, F.lit(most))
+def truncated(text: Column, most: int, size: Sizer = token_size) -> tuple[Column, Column]:
+    """(text, size): texts of `most` tokens or more become their first tokens, joined by blanks; size: another tokenizer's count."""
+    n = size(text)
+    return F.when(n >= most, F.array_join(F.slice(tokens(text), 1, most), " ")).otherwise(text), F.least(n, F.lit(most))
+
+
+def wrap_text(text: Column) -> tuple[Column, Column]:
+    """(text, size): a text of more than one word in quotes, which count as two tokens."""
+    several = F.size(F.split(strip(text), r"\s+")) > 1
+    return F.when(several, F.concat(F.lit("'"), text, F.lit("'"))).otherwise(text), token_size(text) + several.cast("int") * 2
 
 
 def infer_type(text: Column) -> Column:

@@ -9,43 +9,60 @@ from pyspark.sql.window import Window
 from gridscribe.functions import text as T
 from gridscribe.sources.tables import TableSet
 
+#: What is counted to be no more than this is broadcast.
+BROADCAST_ROWS = 100_000
+
 
 def exploded(rows: DataFrame) -> DataFrame:
     """The long form: table_id, row, col, text (stripped)."""
     return rows.select("table_id", "row", F.posexplode("cells").alias("col", "text")).withColumn("text", T.strip(F.col("text")))
 
 
-def canonical(rows: DataFrame, most: int = T.CELL_MAX) -> DataFrame:
-    """table_id, row, col, key, text, size: each distinct key of a column is sized once, in its first spelling."""
+def canonical(rows: DataFrame, most: int = T.CELL_MAX, size: T.Sizer = T.token_size) -> DataFrame:
+    """table_id, row, col, key, text, size: a cell's text is the first spelling of its key in its column.
+
+    Sizes don't depend on the spelling, so only the keys that are spelled in several ways are joined back, and they are few: the
+    other cells never move.
+    """
+    from gridscribe.plans.staging import written
+
     cells = exploded(rows).withColumn("key", T.cell_key(F.col("text")))
-    text, size = T.truncated(F.col("first"), most)
-    words = cells.groupBy("table_id", "col", "key").agg(F.min_by("text", "row").alias("first"))
-    words = words.select("table_id", "col", "key", text.alias("text"), size.alias("size"))
-    return cells.drop("text").join(words, ["table_id", "col", "key"])
+    ways = cells.groupBy("table_id", "col", "key").agg(F.min("text").alias("low"), F.max("text").alias("high"), F.min_by("text", "row").alias("first")).filter("low <> high")
+    ways = written(ways.select("table_id", "col", "key", "first"), "spellings")
+    n = ways.count()
+    if n:
+        cells = cells.join(F.broadcast(ways) if n <= BROADCAST_ROWS else ways, ["table_id", "col", "key"], "left").withColumn("text", F.coalesce("first", "text"))
+    text, n_tokens = T.truncated(F.col("text"), most, size)
+    return cells.select("table_id", "row", "col", "key", text.alias("text"), n_tokens.alias("size"))
 
 
-def headers(columns: DataFrame) -> DataFrame:
+def headers(columns: DataFrame, size: T.Sizer = T.token_size) -> DataFrame:
     """table_id, title, title_size, col, name, size: truncated titles and column names."""
-    title, title_size = T.truncated(T.strip(F.col("title")), T.TITLE_MAX)
-    name, size = T.truncated(T.strip(F.col("name")), T.HEADER_MAX)
-    return columns.select("table_id", title.alias("title"), title_size.alias("title_size"), "col", name.alias("name"), size.alias("size"))
+    title, title_size = T.truncated(T.strip(F.col("title")), T.TITLE_MAX, size)
+    name, name_size = T.truncated(T.strip(F.col("name")), T.HEADER_MAX, size)
+    return columns.select("table_id", title.alias("title"), title_size.alias("title_size"), "col", name.alias("name"), name_size.alias("size"))
 
 
 def cell_types(rows: DataFrame) -> DataFrame:
     return exploded(rows).withColumn("type", T.infer_type(F.col("text")))
 
 
-def column_types(rows: DataFrame) -> DataFrame:
+def column_types(rows: DataFrame, columns: DataFrame, span: int = 4096) -> DataFrame:
     """The first type that has enough cells (three; one polygon), in row order; null if none has.
 
-    Only the first three rows of each type of a column matter: a rank-limited window, so no column is ever sorted whole.
+    The first three rows of each type of a column decide. Cells are counted by spans of rows first, so that only the spans that
+    hold these rows are looked at again: nothing is sorted but a few thousand cells a column.
     """
-    typed = cell_types(rows).filter("type IS NOT NULL")
+    at = F.floor(F.col("row") / span).cast("int")
+    typed = cell_types(rows).filter("type IS NOT NULL").withColumn("span", at)
+    counted = typed.groupBy("table_id", "col", "type", "span").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("table_id", "col", "type").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = counted.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).filter("before < 3").select("table_id", "col", "type", "span")
+    first = typed.join(spans, ["table_id", "col", "type", "span"])
     rank = F.row_number().over(Window.partitionBy("table_id", "col", "type").orderBy("row"))
-    hits = typed.withColumn("k", rank).filter("k <= 3").filter((F.col("k") == 3) | (F.col("type") == "POLYGON") & (F.col("k") == 1))
+    hits = first.withColumn("k", rank).filter("k <= 3").filter((F.col("k") == 3) | (F.col("type") == "POLYGON") & (F.col("k") == 1))
     best = hits.groupBy("table_id", "col").agg(F.min_by("type", "row").alias("type"))
-    every = exploded(rows).select("table_id", "col").distinct()
-    return every.join(best, ["table_id", "col"], "left")
+    return columns.select("table_id", "col").join(best, ["table_id", "col"], "left")
 
 
 def classes(cells: DataFrame) -> DataFrame:
@@ -66,8 +83,10 @@ def max_weight_column(cells: DataFrame) -> DataFrame:
     return column_weights(cells).groupBy("table_id").agg(F.max(F.struct("weight", (-F.col("col")).alias("minus")))["minus"].alias("minus")).select("table_id", (-F.col("minus")).alias("col"))
 
 
-def hash_bins(cells: DataFrame) -> DataFrame:
-    """(table_id, col, slot, row) of non-empty cells; a table has as many slots as rows."""
+def hash_bins(cells: DataFrame, skip: DataFrame | None = None) -> DataFrame:
+    """(table_id, col, slot, row) of non-empty cells; a table has as many slots as rows. skip: columns (table_id, col) without bins."""
+    if skip is not None:
+        cells = cells.join(F.broadcast(skip.select("table_id", "col")) if skip.count() <= BROADCAST_ROWS else skip.select("table_id", "col"), ["table_id", "col"], "left_anti")
     sizes = cells.groupBy("table_id").agg(F.countDistinct("row").alias("n_rows"))
     return cells.filter("key <> ''").join(sizes, "table_id").select("table_id", "col", T.hash_slot(F.col("key"), F.col("n_rows")).alias("slot"), "row")
 
@@ -80,23 +99,36 @@ def bin_gains(cells: DataFrame, bins: DataFrame) -> DataFrame:
 
 
 def bin_order(gains: DataFrame) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("table_id").orderBy(F.desc("gain"), "col", "slot"))
-    return gains.withColumn("bin_rank", rank)
+    """gains with bin_rank from 1: by gain, then column and slot. One range sort for all tables, whatever their size."""
+    from gridscribe.plans.staging import numbered
+
+    placed = numbered(gains, ["table_id", F.desc("gain"), "col", "slot"], "place")
+    first = placed.groupBy("table_id").agg(F.min("place").alias("first"))
+    return placed.join(first, "table_id").withColumn("bin_rank", F.col("place") - F.col("first") + 1).drop("place", "first")
 
 
 def row_order(rows: DataFrame, bins: DataFrame, order: DataFrame) -> DataFrame:
     """(table_id, row, ord): rows by the best bin that holds them, rows of no bin last."""
+    from gridscribe.plans.staging import numbered
+
     best = bins.join(order.select("table_id", "col", "slot", "bin_rank"), ["table_id", "col", "slot"]).groupBy("table_id", "row").agg(F.min("bin_rank").alias("bin_rank"))
     all_rows = rows.select("table_id", "row").join(best, ["table_id", "row"], "left")
-    return all_rows.withColumn("ord", F.row_number().over(Window.partitionBy("table_id").orderBy(F.asc_nulls_last("bin_rank"), "row")) - 1).drop("bin_rank")
+    placed = numbered(all_rows, ["table_id", F.asc_nulls_last("bin_rank"), "row"], "place")
+    first = placed.groupBy("table_id").agg(F.min("place").alias("first"))
+    return placed.join(first, "table_id").select("table_id", "row", (F.col("place") - F.col("first")).cast("int").alias("ord"))
+
+
+def numeric_columns(types: DataFrame) -> DataFrame:
+    """types with skip: columns of decimals and polygons say little about which rows belong together."""
+    return types.withColumn("skip", F.coalesce(F.col("type").isin("FLOAT", "POLYGON"), F.lit(False)))
 
 
-def schema_blocks(columns: DataFrame, budget: int = int(T.WINDOW * T.HEADER_SHARE)) -> DataFrame:
+def schema_blocks(columns: DataFrame, budget: int = int(T.WINDOW * T.HEADER_SHARE), size: T.Sizer = T.token_size) -> DataFrame:
     """(table_id, block_id, cols, header, header_size): columns in order, a new block where the next name would exceed the budget.
 
     A header is one row per column of a table, so the fold runs over a sorted array inside a row.
     """
-    named = headers(columns).groupBy("table_id").agg(F.first("title").alias("title"), F.first("title_size").alias("title_size"), F.sort_array(F.collect_list(F.struct("col", "name", "size"))).alias("c"))
+    named = headers(columns, size).groupBy("table_id").agg(F.first("title").alias("title"), F.first("title_size").alias("title_size"), F.sort_array(F.collect_list(F.struct("col", "name", "size"))).alias("c"))
     start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("block"), F.array().cast("array<struct<block:int,col:int,name:string,size:int>>").alias("out"))
 
     def step(a: Column, c: Column) -> Column:

@@ -151,7 +151,7 @@ class Coded:
             return []
         codes, heads = self.coded()
         used = [heads[h] for h in sorted(heads)] + [code for code, _ in codes.values()]
-        out = (*self.key, self.window, self.text(codes, heads), self.size, [r for r, _ in self.rows], [[int(c["col"]) for c in cells] for _, cells in self.rows], used)
+        out = (*self.key, self.window, self.text(codes, heads), self.size, [r for r, _ in self.rows], [[int(x) for c in cells for x in (c["cols"] if "cols" in c else [c["col"]])] for _, cells in self.rows], used)
         self.window += 1
         self.clear()
         return [self.finish(out)]

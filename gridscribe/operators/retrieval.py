@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridscribe.plans.staging import numbered
+
 
 def inner(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -15,24 +21,63 @@ def minus_squared_distance(a: Column, b: Column) -> Column:
     return F.lit(0.0) - F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, v: s + v)
 
 
-def knn(queries: DataFrame, passages: DataFrame, k: int, batch: int = 1000) -> DataFrame:
+KNN = "qid long, p_id long, table_id string, score double"
+
+
+def knn(queries: DataFrame, passages: DataFrame, k: int, batch: int = 1 << 16, lanes: int = 4096) -> DataFrame:
     """(qid, p_id, table_id, score, rank): the k passages of largest inner product; ties go to the lesser p_id.
 
-    Queries (qid, q) go in batches of at most `batch` rows as one array, so that the broadcast side is bounded; each task
-    keeps its k best per query before anything is shuffled.
+    Queries (qid, q: as long as emb) go in blocks of at most `batch`, each one broadcast matrix; a task scores its passages against it
+    by matrix products and keeps its k best per query, so a scan of the passages serves a whole block and what is shuffled
+    are k rows per query and task.
     """
+    spark = queries.sparkSession
+    asked = numbered(queries.select("qid", "q"), ["qid"], "at")
+    n = asked.count()
     out = None
-    n = queries.count()
-    for i in range(max(1, -(-n // batch))):
-        part = queries if n <= batch else queries.filter(F.pmod(F.xxhash64("qid"), F.lit(-(-n // batch))) == i)
-        block = part.agg(F.collect_list(F.struct("qid", "q")).alias("block"))  # one row of at most about `batch` queries
-        scored = passages.join(F.broadcast(block)).select("p_id", "table_id", F.explode(F.transform("block", lambda b: F.struct(b["qid"].alias("qid"), F.round(inner(b["q"], F.col("emb")), 6).alias("score")))).alias("s"))
-        rows = scored.select("s.qid", "p_id", "table_id", "s.score")
+    for low in range(0, max(1, n), batch):
+        part = asked.filter((F.col("at") >= low) & (F.col("at") < low + batch)).orderBy("at").select("qid", "q").toArrow()  # at most batch rows
+        ids = part["qid"].to_numpy()
+        wide = len(part["q"][0].as_py()) if len(ids) else 0
+        matrix = np.array(part["q"].combine_chunks().flatten().to_numpy(zero_copy_only=False), float).reshape(len(ids), wide)
+        rows = passages.select("p_id", "table_id", "emb").mapInArrow(_best_of(spark.sparkContext.broadcast((ids, matrix)), k, lanes), KNN)
         out = rows if out is None else out.unionByName(rows)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "p_id"))
     return out.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def _best_of(shared, k: int, lanes: int):
+    """A task's fold: the k best (score, p_id, table) per query over all its batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix = shared.value
+        held: list[tuple | None] = [None] * -(-len(ids) // lanes)
+        for batch in batches:
+            if not batch.num_rows or not len(ids):
+                continue
+            own = batch.column("p_id").to_numpy(zero_copy_only=False)
+            emb = np.array(batch.column("emb").flatten().to_numpy(zero_copy_only=False), float).reshape(batch.num_rows, -1)
+            tables = np.asarray(batch.column("table_id").to_pylist(), object)
+            for step in range(0, batch.num_rows, 1024):
+                p, t, e = own[step : step + 1024], tables[step : step + 1024], emb[step : step + 1024]
+                for lane in range(len(held)):
+                    score = np.round(matrix[lane * lanes : (lane + 1) * lanes] @ e.T, 6)
+                    q, at = np.nonzero(score >= np.partition(score, score.shape[1] - k, 1)[:, [score.shape[1] - k]]) if score.shape[1] > k else np.nonzero(np.ones(score.shape, bool))
+                    new = (q, score[q, at], p[at], t[at])
+                    old = held[lane]
+                    both = new if old is None else tuple(np.concatenate([a, b]) for a, b in zip(old, new, strict=True))
+                    order = np.lexsort((both[2], -both[1], both[0]))
+                    q = both[0][order]
+                    first = np.searchsorted(q, q, "left")
+                    order = order[np.arange(len(q)) - first < k]
+                    held[lane] = tuple(x[order] for x in both)
+        for lane, rows in enumerate(held):
+            if rows is not None:
+                yield pa.RecordBatch.from_pydict({"qid": pa.array(ids[rows[0] + lane * lanes].astype(np.int64)), "p_id": pa.array(rows[2].astype(np.int64)), "table_id": pa.array(rows[3].tolist(), pa.string()), "score": pa.array(rows[1])})
+
+    return run
+
+
 def top_passages(run: DataFrame, n: int) -> DataFrame:
     """run (qid, rank, table_id) down to the passages before the (n + 1)-th distinct table appears, with tbl_pos."""
     first = F.min("rank").over(Window.partitionBy("qid", "table_id"))
@@ -81,3 +126,9 @@ def distill(student: DataFrame, teacher: DataFrame, temperature: float) -> DataF
     s, t = log_softmax(student, temperature).select("qid", "p_id", F.col("lp").alias("ls")), log_softmax(teacher, temperature).select("qid", "p_id", F.col("lp").alias("lt"))
     each = s.join(t, ["qid", "p_id"]).groupBy("qid").agg(F.sum(F.exp("lt") * (F.col("lt") - F.col("ls"))).alias("kl"))
     return each.agg(F.round(F.avg("kl") * temperature**2, 6).alias("kl"))
+
+
+def distill_loss(student: DataFrame, teacher: DataFrame, gold: DataFrame, temperature: float = 3.0, weight: float = 0.5) -> DataFrame:
+    """weight * distillation + (1 - weight) * the student's own loss, and both parts."""
+    parts = distill(student, teacher, temperature).select("kl", F.lit(1).alias("one")).join(nll(student, gold).select("nll", F.lit(1).alias("one")), "one")
+    return parts.select("kl", "nll", F.round(weight * F.col("kl") + (1 - weight) * F.col("nll"), 6).alias("loss"))

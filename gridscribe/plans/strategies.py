@@ -5,35 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridscribe.functions import text as T
 from gridscribe.functions.text import WINDOW
 from gridscribe.operators import agree, cells as O, packing as P
+from gridscribe.plans.staging import numbered, written
 from gridscribe.sources.tables import TableSet
 
 STRATEGIES = ("block", "1_row_block", "schema", "compress", "schema_cell_coding", "schema_coding", "agree_coding", "cpr_scm")
 
 
-def _order(tables: TableSet, cells: DataFrame) -> DataFrame:
-    bins = O.hash_bins(cells)
+def _order(tables: TableSet, cells: DataFrame, skip_numeric: bool = False) -> DataFrame:
+    skip = O.numeric_columns(O.column_types(tables.rows, tables.columns)).filter("skip") if skip_numeric else None
+    bins = O.hash_bins(cells, skip)
     return O.row_order(tables.rows, bins, O.bin_order(O.bin_gains(cells, bins)))
 
 
-def _one_block(tables: TableSet) -> DataFrame:
-    return O.schema_blocks(tables.columns, budget=1 << 30)
+def _one_block(tables: TableSet, size: T.Sizer = T.token_size) -> DataFrame:
+    return O.schema_blocks(tables.columns, 1 << 30, size)
 
 
-def schema_rows(tables: TableSet, sep_repeat: int = 2) -> DataFrame:
+def schema_rows(tables: TableSet, sep_repeat: int = 2, size: T.Sizer = T.token_size) -> DataFrame:
     """Rows of the schema strategy with text and size; sep_repeat: separators after a cell (2, or 1 for a fair ratio)."""
-    blocks = O.schema_blocks(tables.columns)
-    rows = P.with_layout(O.packed_rows(tables, O.canonical(tables.rows), blocks), blocks)
+    blocks = O.schema_blocks(tables.columns, size=size)
+    rows = P.with_layout(O.packed_rows(tables, O.canonical(tables.rows, size=size), blocks), blocks)
     joint, last = " ; " * sep_repeat, (" ; " * sep_repeat).rstrip()[:-1] + " [SEP] "
     text = F.concat("title", F.lit(" [SEP] "), F.array_join(F.transform("cells", lambda c: c["text"]), joint), F.lit(last))
-    size = F.col("title_size") + 1 + F.aggregate("cells", F.lit(0), lambda a, c: a + c["size"] + sep_repeat)
-    return rows.select("table_id", "block_id", "row", "ord", "header", "cols", text.alias("text"), size.alias("size"), F.col("header_size").alias("fixed"))
+    row_size = F.col("title_size") + 1 + F.aggregate("cells", F.lit(0), lambda a, c: a + c["size"] + sep_repeat)
+    return rows.select("table_id", "block_id", "row", "ord", "header", "cols", text.alias("text"), row_size.alias("size"), F.col("header_size").alias("fixed"))
 
 
-def schema_passages(tables: TableSet, sep_repeat: int = 2, limit: int = WINDOW) -> DataFrame:
+def schema_counts(tables: TableSet, sep_repeat: int = 2, limit: int = WINDOW) -> DataFrame:
+    """(table_id, count) of the schema strategy's passages: windows are counted, no text is rendered."""
+    held = P.windows(schema_rows(tables, sep_repeat), limit)
+    return held.groupBy("table_id", "block_id").agg((F.max("window_id") + 1).alias("n")).groupBy("table_id").agg(F.sum("n").alias("count"))
+
+
+def schema_passages(tables: TableSet, sep_repeat: int = 2, limit: int = WINDOW, size: T.Sizer = T.token_size) -> DataFrame:
     """Only sizes go through the fold; texts are rendered and joined natively. A row above the limit has a window of its own."""
-    rows = schema_rows(tables, sep_repeat)
+    rows = schema_rows(tables, sep_repeat, size)
     held = rows.join(P.windows(rows, limit), ["table_id", "block_id", "row"])
     groups = held.groupBy("table_id", "block_id", "window_id", "header", "cols", "fixed").agg(F.sort_array(F.collect_list(F.struct("ord", "row", "text"))).alias("r"), F.sum("size").alias("content"))
     return groups.select(
@@ -42,30 +51,34 @@ def schema_passages(tables: TableSet, sep_repeat: int = 2, limit: int = WINDOW)
     )
 
 
-def _folded(tables: TableSet, blocks: DataFrame, order: DataFrame | None, fold, schema: str = P.PASSAGES) -> DataFrame:
-    return P.folded(P.with_layout(O.packed_rows(tables, O.canonical(tables.rows), blocks, order), blocks), fold, schema)
+def _folded(tables: TableSet, cells: DataFrame, blocks: DataFrame, order: DataFrame | None, fold, schema: str = P.PASSAGES) -> DataFrame:
+    return P.folded(P.with_layout(O.packed_rows(tables, cells, blocks, order), blocks), fold, schema)
+
 
+def serialize(tables: TableSet, strategy: str, limit: int = WINDOW, size: T.Sizer = T.token_size, skip_numeric: bool = False, **options) -> DataFrame:
+    """Passages of a strategy; an unknown name fails here, on the driver.
 
-def serialize(tables: TableSet, strategy: str, limit: int = WINDOW, **options) -> DataFrame:
-    """Passages of a strategy; an unknown name fails here, on the driver."""
+    size: the tokenizer's count of tokens; skip_numeric: columns of decimals and polygons don't decide the order of coded rows.
+    """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}, known are {', '.join(STRATEGIES)}")
     if strategy == "schema":
-        return schema_passages(tables, limit=limit, **options)
+        return schema_passages(tables, limit=limit, size=size, **options)
+    cells = O.canonical(tables.rows, size=size)
     if strategy in ("block", "1_row_block"):
         flush = strategy == "1_row_block"
-        return _folded(tables, _one_block(tables), None, lambda row: P.CellWindows(row, limit, flush))
+        return _folded(tables, cells, _one_block(tables, size), None, lambda row: P.CellWindows(row, limit, flush))
     if strategy == "agree_coding":
-        return agree.passages(tables, limit)
-    cells = O.canonical(tables.rows)
-    blocks, order = O.schema_blocks(tables.columns), _order(tables, cells)
+        return agree.passages(tables, cells, limit, size)
+    cells = written(cells, "cells")  # read for the bins, their gains and the packing
+    blocks, order = O.schema_blocks(tables.columns, size=size), _order(tables, cells, skip_numeric)
     if strategy == "compress":
-        return _folded(tables, blocks, order, lambda row: P.Coded(row, limit))
+        return _folded(tables, cells, blocks, order, lambda row: P.Coded(row, limit))
     if strategy == "schema_cell_coding":
-        return _folded(tables, blocks, order, lambda row: P.Coded(row, limit, code_headers=True))
+        return _folded(tables, cells, blocks, order, lambda row: P.Coded(row, limit, code_headers=True))
     if strategy == "schema_coding":
-        return _folded(tables, blocks, order, lambda row: P.Coded(row, limit, code_cells=False, code_headers=True, show_header=False))
-    return _folded(tables, blocks, order, lambda row: P.Paired(row, limit), P.PASSAGES + ", scm_passage string")
+        return _folded(tables, cells, blocks, order, lambda row: P.Coded(row, limit, code_cells=False, code_headers=True, show_header=False))
+    return _folded(tables, cells, blocks, order, lambda row: P.Paired(row, limit), P.PASSAGES + ", scm_passage string")
 
 
 def decompressed(tables: TableSet, passages: DataFrame, limit: int = WINDOW) -> DataFrame:
@@ -93,6 +106,11 @@ def compression_ratio(plain: DataFrame, coded: DataFrame) -> DataFrame:
     return both.withColumn("ratio", F.round(F.col("schema_count") / F.col("compress_count"), 2))
 
 
+def ratio_sorted(ratios: DataFrame) -> DataFrame:
+    """ratios with place from 1: the largest ratio first, ties by table."""
+    return numbered(ratios, [F.desc("ratio"), "table_id"], "at").withColumn("place", F.col("at") + 1).drop("at")
+
+
 def ratio_histogram(ratios: DataFrame) -> DataFrame:
     """Tables per half-unit bucket of the ratio."""
     low = F.floor("ratio").cast("int")

@@ -6,18 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridscribe.functions import text as T
+from gridscribe.functions.registered import register
 from gridscribe.operators import agree as A, cells as O, packing as P, prompts as M, questions as Q, retrieval as R
 from gridscribe.plans import strategies as S
 from gridscribe.plans.oracle import ORACLE  # noqa: F401
+from gridscribe.sources import sinks as K
 from gridscribe.sources.tables import TableSet, from_relation, grid_rows, relation, short_name
 
 NAMES = ("nation", "supplier", "customer", "part", "orders")
 
 
-def tables(spark: SparkSession, sf_dir: str, *names: str) -> TableSet:
+def tables(spark: SparkSession, sf_dir: str, *names: str, ordered: bool = True) -> TableSet:
     out = None
     for name in names:
-        one = from_relation(relation(spark, sf_dir, name), name)
+        one = from_relation(relation(spark, sf_dir, name), name, ordered)
         out = one if out is None else TableSet(out.rows.unionByName(one.rows), out.columns.unionByName(one.columns))
     return out
 
@@ -48,11 +50,17 @@ def canonical_cells(spark, d):
 
 
 def cell_type_inference(spark, d):
-    return O.cell_types(tables(spark, d, "events").rows).groupBy("col", "type").agg(F.count("*").alias("n"))
+    return O.cell_types(tables(spark, d, "events", ordered=False).rows).groupBy("col", "type").agg(F.count("*").alias("n"))
 
 
 def column_type_inference(spark, d):
-    return O.column_types(tables(spark, d, "events", "orders", "lineitem").rows)
+    t = tables(spark, d, "events", "orders", "lineitem")
+    return O.column_types(t.rows, t.columns)
+
+
+def numeric_columns(spark, d):
+    t = tables(spark, d, "part", "customer", "orders")
+    return O.numeric_columns(O.column_types(t.rows, t.columns))
 
 
 def column_classes(spark, d):
@@ -174,7 +182,7 @@ def agree_sets(spark, d):
 
 def agree_index(spark, d):
     cells = canonical(spark, d, "customer")
-    return A.indexed(cells, A.best_sets(A.pairs(cells)))
+    return A.row_order(A.indexed(cells, A.best_sets(A.pairs(cells))))
 
 
 def agree_passages(spark, d):
@@ -182,12 +190,23 @@ def agree_passages(spark, d):
 
 
 def strategy_stats(spark, d):
-    return S.passage_counts(S.serialize(tables(spark, d, *NAMES), "schema"))
+    return S.schema_counts(tables(spark, d, *NAMES))
 
 
 def compression_ratio(spark, d):
     t = tables(spark, d, *NAMES)
-    return S.compression_ratio(S.passage_counts(S.serialize(t, "schema")), S.passage_counts(S.serialize(t, "compress")))
+    return S.compression_ratio(S.schema_counts(t), S.passage_counts(S.serialize(t, "compress")))
+
+
+def ratio_sorted(spark, d):
+    return S.ratio_sorted(compression_ratio(spark, d)).select("table_id", "ratio", "place")
+
+
+def merged_passages(spark, d):
+    """Coded passages with global ids, and the ids of the base passages that show their rows."""
+    t = tables(spark, d, "part")
+    coded, _ = K.merged(S.serialize(t, "compress"), S.serialize(t, "1_row_block"))
+    return coded.select("p_id", "table_id", F.concat_ws(",", F.transform("base_p_ids", lambda x: x.cast("string"))).alias("base_p_ids"))
 
 
 def ratio_histogram(spark, d):
@@ -230,23 +249,27 @@ def run_confusion(spark, d):
 
 
 def joinable_values(spark, d):
-    t = tables(spark, d, "nation", "supplier", "customer", "part", "orders", "lineitem")
-    return Q.joinable_values(O.canonical(t.rows), t.columns).select("col_key", "key", F.concat_ws(",", "table_ids").alias("table_ids"))
+    t = tables(spark, d, "nation", "supplier", "customer", "part", "orders", "lineitem", ordered=False)
+    return Q.joinable_values(t.rows, t.columns).select("col_key", "key", F.concat_ws(",", "table_ids").alias("table_ids"))
 
 
 def _templates(spark, d):
     t = tables(spark, d, "orders", "lineitem")
-    cells = O.exploded(t.rows)
-    return Q.sql_templates(cells, t.columns, O.column_types(t.rows)), cells
+    return Q.sql_templates(t.rows, t.columns, O.column_types(t.rows, t.columns)), t.rows
 
 
 def sql_templates(spark, d):
-    return _templates(spark, d)[0]
+    each = lambda name: F.array_join(F.transform("conditions", lambda c: F.coalesce(c[name].cast("string"), F.lit(""))), "~")
+    return _templates(spark, d)[0].select("table_id", "id", "row", "sel_col", "aggregate", *(each(n).alias(n) for n in ("col", "op", "value", "value_2")), "sql")
 
 
 def template_results(spark, d):
-    templates, cells = _templates(spark, d)
-    return Q.template_results(templates, cells)
+    return Q.template_results(*_templates(spark, d))
+
+
+def paraphrase_columns(spark, d):
+    cols = Q.paraphrase_columns(F.col("sel_col"), F.col("conditions"))
+    return _templates(spark, d)[0].select("table_id", "id", F.array_join(F.transform(cols, lambda c: c.cast("string")), ",").alias("cols"))
 
 
 def _sql_text(spark, d):
@@ -296,16 +319,38 @@ def split_by_table(spark, d):
     return Q.split_by_table(relation(spark, d, "documents").select(F.col("doc_id").alias("table_id")))
 
 
+def split_by_passage(spark, d):
+    return Q.split_rows(_vectors(spark, d), "p_id")
+
+
 def hard_negatives(spark, d):
-    asked = _vectors(spark, d).filter("p_id % 100 = 0").select(F.col("p_id").alias("qid"), "table_id")
-    return Q.hard_negatives(asked, _vectors(spark, d).select("p_id", "table_id")).withColumn("n", F.col("n").cast("long"))
+    v = _vectors(spark, d).select("p_id", "table_id")
+    return Q.hard_negatives(v.withColumnRenamed("p_id", "qid"), v)
 
 
-def base_offset_map(spark, d):
+def query_records(spark, d):
+    p = relation(spark, d, "part")
+    asked = p.select(F.concat(F.lit("Which is "), "p_name", F.lit("?")).alias("question"), F.array("p_brand", "p_type").alias("table_ids"), F.array(F.col("p_partkey").cast("string")).alias("answers"))
+    return Q.query_records(asked).select("id", "question", F.array_join("table_id_lst", "~").alias("table_ids"), F.array_join("answers", "~").alias("answers"))
+
+
+def _offsets(spark, d):
     rows = relation(spark, d, "lineitem").select(F.col("l_orderkey").alias("qid"), F.col("l_linenumber").alias("n"), F.array("l_linenumber").alias("rows"))
     coded = rows.groupBy("qid", F.floor(F.col("n") / 3).alias("p_id")).agg(F.sort_array(F.collect_set("n")).alias("rows"))
-    out = Q.offset_map(coded, rows.select("qid", F.col("n").alias("p_id"), "rows").distinct())
-    return out.select("qid", F.array_join(F.transform(F.map_entries("offsets"), lambda e: F.concat(e["key"], F.lit(":"), F.concat_ws(",", F.transform(e["value"], lambda v: v.cast("string"))))), ";").alias("offsets"))
+    return Q.offset_map(coded, rows.select("qid", F.col("n").alias("p_id"), "rows").distinct())
+
+
+def base_offset_map(spark, d):
+    return _offsets(spark, d).select("qid", F.array_join(F.transform(F.map_entries("offsets"), lambda e: F.concat(e["key"], F.lit(":"), F.concat_ws(",", F.transform(e["value"], lambda v: v.cast("string"))))), ";").alias("offsets"))
+
+
+def offset_pick(spark, d):
+    return Q.offset_pick(_offsets(spark, d))
+
+
+def base_samples(spark, d):
+    pairs = _offsets(spark, d).select("qid", F.explode("offsets").alias("p_id", "bases"))
+    return Q.base_samples(pairs, 2).withColumn("n", F.col("n").cast("long"))
 
 
 def special_tokens(spark, d):
@@ -313,9 +358,9 @@ def special_tokens(spark, d):
 
 
 def _batch_scores(spark, d, how=R.minus_squared_distance, shift=0):
-    """In-batch scores: every vector whose id is divisible by 100 against all passages of its batch of 500."""
+    """In-batch scores: every vector against all passages of its batch of 500."""
     v = _vectors(spark, d)
-    q = v.filter("p_id % 100 = 0").select(F.col("p_id").alias("qid"), F.col("emb").alias("q"), F.floor(F.col("p_id") / 500).alias("batch"))
+    q = v.select(F.col("p_id").alias("qid"), F.col("emb").alias("q"), F.floor(F.col("p_id") / 500).alias("batch"))
     p = v.select("p_id", "emb", F.floor(F.col("p_id") / 500).alias("batch"))
     return q.join(p, "batch").select("qid", "p_id", F.round(how(F.col("q"), F.col("emb")) + shift, 6).alias("score"))
 
@@ -333,6 +378,11 @@ def kl_distill(spark, d):
     return R.distill(_batch_scores(spark, d), _batch_scores(spark, d, R.inner), 3.0)
 
 
+def distill_loss(spark, d):
+    student = _batch_scores(spark, d)
+    return R.distill_loss(student, _batch_scores(spark, d, R.inner), student.select("qid", F.col("qid").alias("p_id")).distinct())
+
+
 def best_epochs(spark, d):
     losses = relation(spark, d, "lineitem").select(F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("step"), F.col("l_extendedprice").alias("loss"))
     return Q.best_epochs(losses.groupBy("run", "step").agg(F.min("loss").alias("loss"))).select("run", "step", "best", F.col("streak").cast("long").alias("streak"), "stopped")
@@ -351,7 +401,7 @@ def answer_lines(spark, d):
 
 
 def question_sheet(spark, d):
-    q = _templates(spark, d)[0].select("table_id", F.col("table_id").alias("title"), "id", F.concat(F.when(F.col("id") % 2 == 0, F.lit("| ")).otherwise(F.lit("")), "sql").alias("question"), "row", "sel_col", F.array("where_col", "sel_col").alias("where_cols"))
+    q = _templates(spark, d)[0].select("table_id", F.col("table_id").alias("title"), "id", F.concat(F.when(F.col("id") % 2 == 0, F.lit("| ")).otherwise(F.lit("")), "sql").alias("question"), "row", "sel_col", F.transform("conditions", lambda c: c["col"]).alias("where_cols"))
     return M.question_sheet(q)
 
 
@@ -372,5 +422,20 @@ def mean_pool(spark, d):
     return v.select("vec_id", F.posexplode(pooled).alias("at", "x")).select("vec_id", F.col("at").cast("long").alias("at"), F.round("x", 6).alias("x"))
 
 
-_SKIP = {"tables", "canonical", "relation", "from_relation", "short_name", "grid_rows"}
+def wrapped_texts(spark, d):
+    text, size = T.wrap_text(F.col("p_name"))
+    return relation(spark, d, "part").select("p_partkey", text.alias("text"), size.cast("long").alias("size"))
+
+
+def sql_functions(spark, d):
+    """The registered functions, called from SQL."""
+    register(spark)
+    relation(spark, d, "part").createOrReplaceTempView("gs_part")
+    return spark.sql(
+        "SELECT p_partkey, gs_cell_key(concat(' ', p_name, ' ')) AS name_key, gs_token_size(p_type) AS size, array_join(gs_tokens(p_name), '~') AS tokens, gs_hash_slot(p_name, 1009) AS slot, "
+        "gs_infer_cell_type(CAST(p_retailprice AS STRING)) AS price_type, gs_infer_cell_type(CAST(p_size AS STRING)) AS size_type, gs_code_cost(p_size, 3) AS cost FROM gs_part"
+    )
+
+
+_SKIP = {"register", "tables", "canonical", "relation", "from_relation", "short_name", "grid_rows"}
 QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and not k.startswith("_") and getattr(v, "__module__", "") == __name__ and k not in _SKIP}

@@ -31,10 +31,13 @@ def short_name(column: str) -> str:
     return column.split("_", 1)[-1]
 
 
-def from_relation(df: DataFrame, table_id: str) -> TableSet:
-    """A relation as a table of strings; rows are numbered in the order of all columns."""
+def from_relation(df: DataFrame, table_id: str, ordered: bool = True) -> TableSet:
+    """A relation as a table of strings; rows are numbered in the order of all columns, or (not ordered) have no numbers.
+
+    What only counts or meets values needs no numbers, and then nothing is sorted or written.
+    """
     spark = df.sparkSession
-    rows = numbered(df, [F.asc_nulls_first(c) for c in df.columns])
+    rows = numbered(df, [F.asc_nulls_first(c) for c in df.columns]) if ordered else df.withColumn("row", F.lit(None).cast("int"))
     cells = F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns))
     columns = spark.createDataFrame([(table_id, table_id, i, short_name(c)) for i, c in enumerate(df.columns)], "table_id string, title string, col int, name string")
     return TableSet(rows.select(F.lit(table_id).alias("table_id"), F.col("row").cast("int").alias("row"), cells.alias("cells")), columns)
@@ -115,10 +118,14 @@ def header_meta(headers: DataFrame, metadata: DataFrame) -> tuple[DataFrame, Dat
 
 
 def read_jdbc(spark: SparkSession, url: str, tables: list[str], most: int = 10_000, **options: str) -> TableSet:
-    """Database tables, at most `most` rows of each; empty ones are left out; titles are names with blanks for underscores."""
+    """Database tables, of each the first `most` rows in the order of all columns (a top-k, the same in every run).
+
+    Empty ones are left out; titles are names with blanks for underscores.
+    """
     out = None
     for name in tables:
-        df = spark.read.format("jdbc").options(url=url, dbtable=name, **options).load().limit(most)
+        df = spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
+        df = df.orderBy(*(F.asc_nulls_first(c) for c in df.columns)).limit(most)
         if df.isEmpty():
             continue
         one = from_relation(df, name)
