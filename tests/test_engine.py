@@ -116,7 +116,7 @@ def test_cell_types(spark, text, kind):
 
 def test_column_types(spark):
     tables = make(spark, [["1", "x", "t"], ["2.5", "1", "1"], ["3", "2", "f"], ["4", "y", "true"], ["1.5", "z", "2"]], ["a", "b", "c"])
-    assert {r["col"]: r["type"] for r in O.column_types(tables.rows).collect()} == {0: "INT", 1: None, 2: "BOOL"}
+    assert {r["col"]: r["type"] for r in O.column_types(tables.rows, tables.columns).collect()} == {0: "INT", 1: None, 2: "BOOL"}
 
 
 def test_hash_slot_is_sha256_mod_n(spark):
