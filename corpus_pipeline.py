@@ -1,4 +1,9 @@
-"""The corpus pipeline: quality, near-duplicates, decontamination, PII, mixing. Every stage works on all that the one before kept."""
+"""The corpus pipeline: quality, near-duplicates, decontamination, PII, mixing. Every stage works on all that the one before kept.
+
+Defined results: an empty table passes through all stages; null texts are empty texts to quality and linked with nothing; rows that
+share an id, or have none, are judged each by its own text; extra columns come along. The result is the mix itself: the
+documents' columns, text being the words that the mix takes of a document (repeats included).
+"""
 
 from __future__ import annotations
 
@@ -21,5 +26,6 @@ ORACLE_SQL = None
 def run(spark, sf_dir):
     docs = C.table(spark, sf_dir, "documents")
     for name, step in STAGES[:-1]:
-        docs = C.stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        with C.scratch(spark):  # what a stage wrote on its way goes when its result is there
+            docs = C.stage(step(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
