@@ -186,4 +186,4 @@ def passages(tables: TableSet, cells: DataFrame, limit: int, size=O.T.token_size
     picks = best_sets(pairs(cells))
     order = row_order(indexed(cells, picks))
     rows = unit_rows(cells, order, layouts(tables.columns, picks, size=size))
-    return P.folded(rows, lambda row: P.Coded(row, limit, joint=" | "))
+    return P.chunked(rows, lambda row: P.Coded(row, limit, joint=" | "))

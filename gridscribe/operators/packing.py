@@ -1,7 +1,8 @@
 """Greedy window packing: folds over ordered rows with the memory of one window.
 
 Rows are dealt by (table, block) and sorted inside their partitions; a fold streams through them, and starts anew where the key
-changes. Sizes are those of functions.text; a window never exceeds its limit, for a row that is too wide for one window is
+changes. Where a row's size doesn't depend on its window (the plain strategy) a table is split into chunks that are packed
+at the same time. Sizes are those of functions.text; a window never exceeds its limit, for a row that is too wide for one window is
 split by columns.
 """
 
@@ -9,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,25 +42,230 @@ def folded(rows: DataFrame, fold: Callable[[tuple], object], schema: str = PASSA
     return sorted_rows.mapInPandas(run, schema)
 
 
-class Windows:
-    """Numbers windows by next-fit over sizes: the cheapest fold, for strategies whose texts are rendered natively."""
+def next_starts(sizes: np.ndarray, room: int) -> np.ndarray:
+    """For each row as the first of a window, the first row of the next one; a row above the room is a window of its own."""
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.arange(len(sizes))
+    return np.maximum(at + 1, np.searchsorted(total, total[:-1] + room, "right") - 1)
 
-    def __init__(self, row, limit: int):
-        self.room, self.used, self.window, self.held, self.key = limit - row.fixed, 0, 0, 0, (row.table_id, row.block_id)
 
-    def add(self, row) -> list[tuple]:
-        if self.held and self.used + row.size > self.room:
-            self.window, self.used, self.held = self.window + 1, 0, 0
-        self.used, self.held = self.used + row.size, self.held + 1
-        return [(*self.key, row.row, self.window)]
+def passage_of(sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a run of rows does to the window that is open before it: (tokens in the open window after, windows closed).
 
-    def end(self) -> list[tuple]:
-        return []
+    By the tokens in the open window before, 0 (nothing is open) to room + 1 (more than the room: full).
+    """
+    follow = next_starts(sizes, room)
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    # of a chain that begins a window at row i: the start of its last window, and how many windows it closes
+    last, closed = np.arange(len(sizes)), np.zeros(len(sizes), np.int64)
+    for i in range(len(sizes) - 1, -1, -1):
+        if follow[i] < len(sizes):
+            last[i], closed[i] = last[follow[i]], closed[follow[i]] + 1
+    used = np.arange(room + 2)
+    first = np.searchsorted(total, room - used, "right") - 1  # rows that still fit
+    first[0] = 0
+    first = np.maximum(first, 0)
+    out, shut = np.empty(room + 2, np.int64), np.empty(room + 2, np.int64)
+    for u in range(room + 2):
+        i = int(first[u])
+        if i >= len(sizes):
+            out[u], shut[u] = u + total[-1], 0
+        else:
+            out[u], shut[u] = total[-1] - total[last[i]], closed[i] + (u > 0)
+    return np.minimum(out, room + 1), shut
+
+
+def _runs(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """Whole runs of equal keys of a sorted stream of frames."""
+    held: list[pd.DataFrame] = []
+    key = None
+    for frame in frames:
+        if not len(frame):
+            continue
+        new = (frame[keys] != frame[keys].shift()).any(axis=1).to_numpy()
+        new[0] = True
+        cuts = [*np.flatnonzero(new).tolist(), len(frame)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            own = tuple(frame[keys].iloc[a])
+            if own != key and held:
+                yield key, pd.concat(held, ignore_index=True)
+                held = []
+            key = own
+            held.append(frame.iloc[a:b])
+    if held:
+        yield key, pd.concat(held, ignore_index=True)
+
+
+CHUNK = ["table_id", "block_id", "chunk"]
+
+
+def windows(rows: DataFrame, limit: int = WINDOW, chunk_rows: int = 1 << 16) -> DataFrame:
+    """(table_id, block_id, row, window_id) of rows (ord, size, and fixed: what every window spends beside its rows), by next-fit.
+
+    A table is as many tasks as it has chunks of rows. What a chunk does to an open window is one small table by its fill;
+    these tables are followed in order (one short row a chunk), which tells each chunk its first fill and window, and then
+    all chunks number their rows at the same time.
+    """
+    from gridscribe.plans.staging import written
+
+    small = rows.select("table_id", "block_id", "row", "ord", "size", "fixed").withColumn("chunk", F.floor(F.col("ord") / chunk_rows).cast("int"))
+    dealt = written(small, "sizes").repartition(*CHUNK).sortWithinPartitions(*CHUNK, "ord")
+
+    def through(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for key, own in _runs(frames, CHUNK):
+            after, closed = passage_of(own["size"].to_numpy(np.int64), limit - int(own["fixed"].iloc[0]))
+            yield pd.DataFrame([(*key, key[2], after.tolist(), closed.tolist())], columns=[*CHUNK, "ord", "after", "closed"])
+
+    class Followed:
+        def __init__(self, row):
+            self.used, self.window = 0, 0
+
+        def add(self, row) -> list[tuple]:
+            out = [(row.table_id, row.block_id, row.chunk, self.used, self.window)]
+            self.window += int(row.closed[self.used])
+            self.used = int(row.after[self.used])
+            return out
+
+        def end(self) -> list[tuple]:
+            return []
+
+    tables = dealt.mapInPandas(through, "table_id string, block_id int, chunk int, ord int, after array<long>, closed array<long>")
+    entries = written(folded(tables, Followed, "table_id string, block_id int, chunk int, used int, window int"), "entries")
 
+    def numbered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for key, own in _runs(frames, CHUNK):
+            sizes, room, used = own["size"].to_numpy(np.int64), limit - int(own["fixed"].iloc[0]), int(own["used"].iloc[0])
+            total = np.concatenate([[0], np.cumsum(sizes)])
+            first = max(0, int(np.searchsorted(total, room - used, "right")) - 1) if used else 0
+            follow = next_starts(sizes, room)
+            begins = np.zeros(len(sizes), np.int64)
+            i = first
+            while i < len(sizes):
+                begins[i] = 1
+                i = int(follow[i])
+            if not used and len(sizes):
+                begins[first] = 0  # nothing was open: its first row begins the window that is counted already
+            yield pd.DataFrame({"table_id": key[0], "block_id": key[1], "row": own["row"], "window_id": own["window"] + np.cumsum(begins)})
+
+    both = dealt.join(entries, CHUNK).repartition(*CHUNK).sortWithinPartitions(*CHUNK, "ord")
+    return both.select(*CHUNK, "row", "ord", "size", "fixed", "used", "window").mapInPandas(numbered, "table_id string, block_id int, row int, window_id int")
+
+
+PARTS = ["table_id", "block_id", "of"]
+
+
+def chunked(rows: DataFrame, fold: Callable[[tuple], object], schema: str = PASSAGES, chunk_rows: int = 8192, reach: int = WINDOW // 2 + 1) -> DataFrame:
+    """As folded, but a table is as many tasks as it has chunks of rows.
+
+    For folds whose open window is told by the row that began it: then adding rows to a fresh window that begins there gives the
+    same. No window holds more than `reach` rows, so each chunk also gets that many rows before it. It tells, for every row
+    before it that may have begun the window that is open at its start, which window is open at its end and how many
+    are closed; these short tables are followed in order, and then all chunks write their windows at the same time.
+    """
+    from gridscribe.plans.staging import written
+
+    rows = written(rows.withColumn("chunk", F.floor(F.col("ord") / chunk_rows).cast("int")), "rows")
+    gaps = rows.groupBy("table_id", "block_id").agg((F.max("ord") - F.min("ord") + 1 - F.count("*")).alias("gap")).filter("gap <> 0")
+    if not gaps.isEmpty():  # rows without any cell are missing: what a chunk gets before it could be too little
+        return folded(rows.drop("chunk"), fold, schema)
+    late = F.col("ord") % chunk_rows >= chunk_rows - reach
+    of = F.explode(F.when(late | F.lit(reach >= chunk_rows), F.sequence(F.col("chunk"), F.floor((F.col("ord") + reach) / chunk_rows).cast("int"))).otherwise(F.array("chunk")))
+    spread = rows.withColumn("of", of)
+    dealt = lambda df: df.repartition(*PARTS).sortWithinPartitions(*PARTS, "ord")
+
+    def begun(row):
+        state = fold(row)
+        state.add(row)
+        return state
+
+    def parted(own: pd.DataFrame) -> tuple[list, list]:
+        every = list(own.itertuples(index=False))
+        n = sum(r.chunk != r.of for r in every)
+        return every[:n], every[n:]
+
+    def through(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for key, own in _runs(frames, PARTS):
+            back, mine = parted(own)
+            if not mine:
+                continue
+            ends: dict[int, tuple[int, int]] = {}
+
+            def follow(i: int) -> tuple[int, int]:
+                """(row that begins the last window, windows closed) of a window that begins at row i."""
+                path = []
+                while i not in ends:
+                    state, j, out = begun(mine[i]), i + 1, []
+                    while j < len(mine) and not out:
+                        out = state.add(mine[j])
+                        j += 1
+                    if not out:
+                        ends[i] = (i, 0)
+                        break
+                    path.append((i, len(out)))
+                    i = j - 1
+                last, closed = ends[i]
+                for i, n in reversed(path):
+                    closed += n
+                    ends[i] = (last, closed)
+                return last, closed
+
+            told = []
+            if not back:
+                n = len(fold(mine[0]).add(mine[0]))
+                last, closed = follow(0)
+                told.append((-1, int(mine[last].ord), n + closed))
+            for s in range(len(back) - 1, -1, -1):
+                state = begun(back[s])
+                if any(state.add(r) for r in back[s + 1 :]):
+                    break  # a window from here, and so any from before, is closed before the chunk
+                for j, r in enumerate(mine):
+                    out = state.add(r)
+                    if out:
+                        last, closed = follow(j)
+                        told.append((int(back[s].ord), int(mine[last].ord), len(out) + closed))
+                        break
+                else:
+                    told.append((int(back[s].ord), int(back[s].ord), 0))
+            yield pd.DataFrame([(*key, key[2], *(list(x) for x in zip(*told, strict=True)))], columns=[*PARTS, "ord", "begins", "last", "closed"])
+
+    class Followed:
+        def __init__(self, row):
+            self.begin, self.window, self.held = -1, 0, None
+
+        def add(self, row) -> list[tuple]:
+            out = [(*self.held, False)] if self.held else []
+            self.held = (row.table_id, row.block_id, row.of, self.begin, self.window)
+            i = list(row.begins).index(self.begin)
+            self.begin, self.window = int(row.last[i]), self.window + int(row.closed[i])
+            return out
+
+        def end(self) -> list[tuple]:
+            return [(*self.held, True)]
+
+    tables = dealt(spread).mapInPandas(through, "table_id string, block_id int, of int, ord int, begins array<int>, last array<int>, closed array<int>")
+    entries = written(folded(tables, Followed, "table_id string, block_id int, of int, begin int, window int, final boolean"), "entries")
+    names = [x.strip().split(" ")[0] for x in schema.replace("array<array<int>>", "x").split(", ")]
+
+    def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, own in _runs(frames, PARTS):
+            back, mine = parted(own)
+            begin, window, final = int(mine[0].begin), int(mine[0].window), bool(mine[0].final)
+            out: list[tuple] = []
+            if begin < 0:
+                state = fold(mine[0])
+            else:
+                before = [r for r in back if r.ord >= begin]
+                state = begun(before[0])
+                for r in before[1:]:
+                    state.add(r)
+            state.window = window
+            for r in mine:
+                out += state.add(r)
+            if final:
+                out += state.end()
+            yield pd.DataFrame(out, columns=names)
 
-def windows(rows: DataFrame, limit: int = WINDOW) -> DataFrame:
-    """(table_id, block_id, row, window_id) of rows (ord, size, and fixed: what every window spends beside its rows)."""
-    return folded(rows.select("table_id", "block_id", "row", "ord", "size", "fixed"), lambda row: Windows(row, limit), "table_id string, block_id int, row int, window_id int")
+    return dealt(spread.join(entries, PARTS)).mapInPandas(packed, schema)
 
 
 class Coded:

@@ -52,7 +52,7 @@ def schema_passages(tables: TableSet, sep_repeat: int = 2, limit: int = WINDOW,
 
 
 def _folded(tables: TableSet, cells: DataFrame, blocks: DataFrame, order: DataFrame | None, fold, schema: str = P.PASSAGES) -> DataFrame:
-    return P.folded(P.with_layout(O.packed_rows(tables, cells, blocks, order), blocks), fold, schema)
+    return P.chunked(P.with_layout(O.packed_rows(tables, cells, blocks, order), blocks), fold, schema)
 
 
 def serialize(tables: TableSet, strategy: str, limit: int = WINDOW, size: T.Sizer = T.token_size, skip_numeric: bool = False, **options) -> DataFrame:
@@ -66,8 +66,11 @@ def serialize(tables: TableSet, strategy: str, limit: int = WINDOW, size: T.Size
         return schema_passages(tables, limit=limit, size=size, **options)
     cells = O.canonical(tables.rows, size=size)
     if strategy in ("block", "1_row_block"):
-        flush = strategy == "1_row_block"
-        return _folded(tables, cells, _one_block(tables, size), None, lambda row: P.CellWindows(row, limit, flush))
+        if strategy == "1_row_block":
+            return _folded(tables, cells, _one_block(tables, size), None, lambda row: P.CellWindows(row, limit, True))
+        # its windows begin at any cell, which no row tells: one task per table
+        blocks = _one_block(tables, size)
+        return P.folded(P.with_layout(O.packed_rows(tables, cells, blocks), blocks), lambda row: P.CellWindows(row, limit, False))
     if strategy == "agree_coding":
         return agree.passages(tables, cells, limit, size)
     cells = written(cells, "cells")  # read for the bins, their gains and the packing
@@ -87,7 +90,7 @@ def decompressed(tables: TableSet, passages: DataFrame, limit: int = WINDOW) ->
     cells = O.canonical(tables.rows).join(tag, ["table_id", "row", "col"])
     blocks = _one_block(tables)
     rows = P.with_layout(O.packed_rows(tables, cells, blocks), blocks)
-    return P.folded(rows, lambda row: P.CellWindows(row, limit, True))
+    return P.chunked(rows, lambda row: P.CellWindows(row, limit, True))
 
 
 def code_entries(passages: DataFrame) -> DataFrame:

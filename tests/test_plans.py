@@ -145,6 +145,48 @@ def test_templates_hold_for_their_own_row(spark):
     assert ops == set(Q.OPS) and {a for a, _ in kinds} >= {"", "count", "max"} and {n for _, n in kinds} == {1, 2}
 
 
+def test_chunked_windows_are_those_of_one_pass(spark):
+    rng = random.Random(8)
+    rows, want = [], {}
+    for table in ("a", "b", "c"):
+        for block in (0, 1):
+            window = used = held = 0
+            for i in range(rng.choice([1, 40, 333])):
+                n = rng.choice([1, 3, 8, 20, 21, 60])
+                rows.append((table, block, i, i, n, 5))
+                if held and used + n > 20:
+                    window, used, held = window + 1, 0, 0
+                used, held = used + n, held + 1
+                want[table, block, i] = window
+    df = spark.createDataFrame(rows, "table_id string, block_id int, row int, ord int, size int, fixed int")
+    for chunk in (1 << 16, 50, 7, 1):
+        got = {(r["table_id"], r["block_id"], r["row"]): r["window_id"] for r in P.windows(df, 25, chunk).collect()}
+        assert got == want, chunk
+    assert P.windows(df.limit(0), 25).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["coded", "both", "paired", "rows"])
+def test_chunked_passages_are_those_of_one_pass(spark, kind):
+    rng = random.Random(11)
+    words = [" ".join(rng.choice("alpha beta gamma delta".split()) for _ in range(n)) for n in (1, 2, 4, 6, 9, 25)]
+    grid = [[rng.choice(words) for _ in range(3)] + [str(i)] for i in range(260)]
+    grid[100] = [f"{i} " * 29 for i in range(4)]
+    t = make(spark, grid, ["a", "b", "c", "d"])
+    fold = {
+        "coded": lambda row: P.Coded(row, 90), "both": lambda row: P.Coded(row, 90, code_headers=True), "paired": lambda row: P.Paired(row, 140), "rows": lambda row: P.CellWindows(row, 60, True),
+    }[kind]
+    schema = P.PASSAGES + (", scm_passage string" if kind == "paired" else "")
+    blocks = O.schema_blocks(t.columns)
+    rows = staging.written(P.with_layout(O.packed_rows(t, O.canonical(t.rows), blocks), blocks), "test")
+    plain = lambda df: sorted(map(str, df.collect()))
+    want = plain(P.folded(rows, fold, schema))
+    assert len(want) > 20
+    for chunk in (8192, 64, 13):
+        assert plain(P.chunked(rows, fold, schema, chunk, 46)) == want, chunk
+    with_gaps = rows.filter("row % 7 <> 3")
+    assert plain(P.chunked(with_gaps, fold, schema, 64, 46)) == plain(P.folded(with_gaps, fold, schema))
+
+
 def test_sinks(spark, tmp_path):
     grid = [[f"cell {i}", "shared text of a column", str(i)] for i in range(60)]
     t = make(spark, grid, ["a", "b", "c"])
