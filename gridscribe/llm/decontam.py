@@ -7,8 +7,9 @@ k + 1 runs make one of ceil(need / (k + 1)), so no pattern within the threshold
 of benchmark items by an equi-join; each hit names an item and a diagonal (place in the document minus place in the
 item), and along each diagonal the whole overlap is compared token by token.
 
-The item seeds are broadcast only if they are counted to be few; otherwise the join shuffles by seed. Hits carry ids and places
-only; the documents that hits name are read again for verification.
+The item seeds, the hits and the items are broadcast only if their rows, diagonals and tokens are counted to be no more than
+BROADCAST_ROWS; otherwise the joins shuffle. Hits carry ids and places only; the documents that hits name are read again for
+verification.
 
 Defined results: null or empty texts match nothing; items of fewer than `least` tokens are not searched for; items so short
 that `share` allows no substitution are searched for as exact phrases; repeated rows and repeated hits give one pair, its
@@ -94,7 +95,8 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = 20, share: flo
     few = hits.count() <= BROADCAST_ROWS
     named = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(grouped) if few else grouped, F.col("id").eqNullSafe(F.col("doc_id")))
     rows = named.select("doc_id", F.col("item_id").alias("of"), "diagonals", tokens(F.col("text")).alias("doc_tokens"))
-    pairs = rows.join(F.broadcast(items) if items.count() <= 100_000 else items, F.col("of").eqNullSafe(F.col("item_id")))
+    n_tokens = items.agg(F.coalesce(F.sum(F.size("item_tokens")), F.lit(0))).first()[0]
+    pairs = rows.join(F.broadcast(items) if n_tokens <= BROADCAST_ROWS else items, F.col("of").eqNullSafe(F.col("item_id")))
     pairs = pairs.select("doc_id", "item_id", _best(window).alias("matched"), F.least(F.lit(window), F.size("item_tokens")).alias("compared"))
     pairs = pairs.filter(F.col("matched") >= F.lit(share) * F.col("compared"))
     out = pairs.groupBy("doc_id", "item_id").agg(F.max("matched").cast("long").alias("matched"), F.max("compared").cast("long").alias("compared"))

@@ -8,6 +8,9 @@ upsampled, and pixels are stored as full-resolution RGB tensors.
 
 payload_jpegs() stores bytes losslessly in such files: the unit is the quantized coefficient (tables of ones); byte b is the
 coefficient 256 + b, so every coefficient of a scan has one size. Images are 4:2:0; luma blocks come first, then Cb, Cr.
+A payload of more than PAGE bytes is a sequence of such files, one after another, each with its part: writer and reader hold
+one page at a time (some 20 MB), whatever a text's length. Since such coefficients saturate pixels, the payload's
+feature also tells how they are distributed.
 
 Defined results: a null or empty text is 64 zero bytes; padding blocks hold zeros as well; a null or damaged image
 decodes to null tensors; repeated rows are stored alike; an empty table gives no rows; extra columns are ignored.
@@ -28,6 +31,9 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common as C
 
 MAX_MCUS = 4095  # in a row: 65,520 pixels
+PAGE = 1 << 20
+#: Where one file ends and the next begins; no file of ours holds these bytes elsewhere (0xFF is stuffed in scans, sizes end in zeros).
+SEAM = b"\xff\xd9\xff\xd8"
 
 
 def _zigzag() -> np.ndarray:
@@ -528,6 +534,17 @@ def feature(tensor: np.ndarray) -> str:
     return " ".join([*(f"{x:.2f}" for x in mean), *(f"{x:.2f}" for x in spread), f"{int(bright, 2):04x}"])
 
 
+def distribution(image: Image) -> np.ndarray:
+    """How many coefficients of a payload's image lie in each of 16 equal bins."""
+    return np.bincount(np.concatenate([(c.coef.ravel() - 256).clip(0, 255) >> 4 for c in image.components]), minlength=16)
+
+
+def pages(media: bytes) -> list[bytes]:
+    """The files of a stored payload."""
+    parts = media.split(SEAM)
+    return [(b"\xff\xd8" if i else b"") + p + (b"\xff\xd9" if i < len(parts) - 1 else b"") for i, p in enumerate(parts)]
+
+
 def payload_of(image: Image) -> bytes:
     """The bytes that payload_jpegs stored."""
     size = struct.unpack(">Q", next(c for c in image.comments if c.startswith(b"payload "))[8:])[0]
@@ -560,37 +577,84 @@ def _padded(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return sizes, out
 
 
+def paged_jpegs(sizes: np.ndarray, data: np.ndarray, page: int | None = None) -> list[bytes]:
+    """The stored form of each payload: files of at most `page` bytes of it, written a page's worth at a time."""
+    page = page or PAGE
+    owner = np.repeat(np.arange(len(sizes)), -(-sizes // page))
+    nth = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    part = np.minimum(page, sizes[owner] - nth * page)
+    at = np.concatenate([[0], np.cumsum(part)])
+    out: list[list[bytes]] = [[] for _ in sizes]
+    first = 0
+    while first < len(part):
+        end = max(first + 1, int(np.searchsorted(at, at[first] + page, "right")) - 1)
+        for i, f in zip(owner[first:end].tolist(), payload_jpegs(part[first:end], data[at[first] : at[end]]), strict=True):
+            out[i].append(f)
+        first = end
+    return [b"".join(x) for x in out]
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and media (binary) of texts: each text's padded bytes as a progressive JPEG."""
+    """doc_id, n_bytes and media (binary) of texts: each text's padded bytes as progressive JPEGs."""
     C.bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, rows, offsets, data in C.text_blocks(batch.column("text"), C.BLOCK_BYTES // 2):
-                yield C.arrow_rows(doc_id=batch.column("doc_id").slice(first, rows), n_bytes=pa.array(np.diff(offsets)), media=pa.array(payload_jpegs(*_padded(offsets, data)), pa.binary()))
+            for first, rows, offsets, data in C.text_blocks(batch.column("text"), PAGE):
+                yield C.arrow_rows(doc_id=batch.column("doc_id").slice(first, rows), n_bytes=pa.array(np.diff(offsets)), media=pa.array(paged_jpegs(*_padded(offsets, data)), pa.binary()))
 
     return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+class Told:
+    """What a stored payload's files say, read one after another."""
+
+    def __init__(self):
+        self.digest, self.size, self.tail, self.bins, self.first, self.more = hashlib.sha256(), 0, b"", np.zeros(16, np.int64), "", 0
+
+    def add(self, image: Image) -> None:
+        payload = payload_of(image)
+        self.digest.update(payload)
+        self.size += len(payload)
+        self.tail = payload[-64:]
+        self.bins += distribution(image)
+        told = feature(rgb(image))
+        self.more = zlib.crc32(told.encode(), self.more) if self.first else 0
+        self.first = self.first or told
+
+    def feature(self) -> str:
+        shares = " ".join(f"{x:.3f}" for x in self.bins / max(1, self.bins.sum()))
+        return f"{self.first} {shares} {self.more:08x}"
+
+
 def digests(df: DataFrame) -> DataFrame:
-    """What the stored bytes of df (doc_id, n_bytes, media) hold, read back, and features of their pixels."""
+    """What the stored bytes of df (doc_id, n_bytes, media) hold, read back, and features of their pixels and coefficients."""
     kind = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            files = batch.column("media").to_pylist()
-            sizes = np.cumsum([len(f) for f in files])
-            step = np.searchsorted(sizes, np.arange(0, int(sizes[-1]) if len(sizes) else 0, C.BLOCK_BYTES))
-            cuts = sorted({0, *step.tolist(), len(files)})
-            rows = []
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                for f, image in zip(files[a:b], decode_coefficients(files[a:b]), strict=True):
-                    payload = payload_of(image)
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(f), hashlib.sha256(f).hexdigest(), feature(rgb(image))))
-            cols = list(zip(*rows, strict=True)) or [()] * 6
+            told = [Told() for _ in range(batch.num_rows)]
+            size, whole, waiting, held = [], [], [], 0
+
+            def flush() -> None:
+                for (row, _), image in zip(waiting, decode_coefficients([f for _, f in waiting]), strict=True):
+                    told[row].add(image)
+                waiting.clear()
+
+            for row in range(batch.num_rows):
+                media = batch.column("media")[row].as_py()
+                size.append(len(media))
+                whole.append(hashlib.sha256(media).hexdigest())
+                for f in pages(media):
+                    waiting.append((row, f))
+                    held += len(f)
+                    if held > C.BLOCK_BYTES:
+                        flush()
+                        held = 0
+            flush()
             yield C.arrow_rows(
-                doc_id=batch.column("doc_id"), n_bytes=batch.column("n_bytes"), payload_bytes=pa.array(cols[0], pa.int64()), payload_sha256=pa.array(cols[1], pa.string()), tail_crc32=pa.array(cols[2], pa.int64()),
-                media_bytes=pa.array(cols[3], pa.int64()), media_sha256=pa.array(cols[4], pa.string()), feature=pa.array(cols[5], pa.string()),
+                doc_id=batch.column("doc_id"), n_bytes=batch.column("n_bytes"), payload_bytes=pa.array([t.size for t in told], pa.int64()), payload_sha256=pa.array([t.digest.hexdigest() for t in told], pa.string()),
+                tail_crc32=pa.array([zlib.crc32(t.tail) for t in told], pa.int64()), media_bytes=pa.array(size, pa.int64()), media_sha256=pa.array(whole, pa.string()), feature=pa.array([t.feature() for t in told], pa.string()),
             )
 
     return df.mapInArrow(run, kind)

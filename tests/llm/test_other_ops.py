@@ -118,6 +118,20 @@ def test_payload_round_trip():
             assert media.feature(media.rgb(images[i]))
 
 
+def test_long_payloads_are_sequences_of_files():
+    rng = np.random.default_rng(4)
+    lens = [64, 5 * 640, 640, 1280, 64 * 7]
+    for filled in (rng.integers(0, 256, sum(lens)).astype(np.uint8), np.full(sum(lens), 255, np.uint8), np.resize(np.array([0xFF, 0xD9, 0xFF, 0xD8], np.uint8), sum(lens))):
+        files = media.paged_jpegs(np.array(lens), filled, 640)
+        at = 0
+        for n, f in zip(lens, files, strict=True):
+            parts = media.pages(f)
+            assert len(parts) == -(-n // 640) and b"".join(parts) == f
+            assert b"".join(media.payload_of(i) for i in media.decode_coefficients(parts)) == filled[at : at + n].tobytes()
+            at += n
+        assert files[2] == media.payload_jpegs(np.array([640]), filled[64 + 3200 : 64 + 3840])[0]
+
+
 def java_jpeg(spark, pixels: np.ndarray) -> bytes:
     """A progressive JPEG (4:2:0, spectral selection and successive approximation) from the JVM's own encoder."""
     jvm = spark._jvm
@@ -171,6 +185,18 @@ def test_media_query(spark, odd):
         r = rows[d]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
     assert media.digests(media.stored(odd.limit(0))).count() == 0
+    twice = [r for r in media.digests(media.stored(odd)).collect() if r["doc_id"] == 5]
+    assert len(twice) == 2 and twice[0] == twice[1]
+    assert media.decode_images(media.stored(odd.limit(0))).count() == 0
+
+
+def test_media_of_texts_over_a_page(spark, monkeypatch):
+    text = "long text, " * 150_000
+    r = media.digests(media.stored(spark.createDataFrame([(1, text), (2, text), (3, "x")], "doc_id long, text string"))).collect()
+    b = text.encode()
+    p = b + bytes(-len(b) % 64)
+    assert r[0]["payload_bytes"] == len(p) > media.PAGE and r[0]["payload_sha256"] == hashlib.sha256(p).hexdigest() and r[0]["tail_crc32"] == zlib.crc32(p[-64:])
+    assert r[0]["feature"] == r[1]["feature"] != r[2]["feature"] and r[0]["media_sha256"] == r[1]["media_sha256"]
 
 
 # ---- rollups -------------------------------------------------------------------------------------------------------------------
@@ -302,30 +328,63 @@ def test_quality_odd_rows(spark, odd):
 
 
 def test_pipeline(spark):
+    """Every stage's result against what a plain reading of its input says."""
     import corpus_pipeline
-    from gridscribe.llm import decontam, minhash
+    import regex
+    from gridscribe.llm import decontam, mixing
+    from test_text_ops import brute
 
     docs = C.table(spark, SMALL, "documents")
     before, columns = docs, docs.columns
     for k, (name, step) in enumerate(corpus_pipeline.STAGES):
         after = C.stage(step(spark, before, SMALL), f"test-{name}")
         a, b = {r["doc_id"]: r for r in before.collect()}, {r["doc_id"]: r for r in after.collect()}
+        assert len(b) == after.count() and set(b) <= set(a)
         if k < 4:
             assert after.columns == columns
+        if k < 3:
+            assert all(a[d] == b[d] for d in b)
         if name == "quality":
             scores = {r["doc_id"]: r["predicted"] for r in quality.op8_quality(spark, SMALL).collect()}
             assert set(b) == {d for d in a if scores[d]}
         elif name == "near_dedup":
-            from test_text_ops import brute
-
             groups = brute([(d, r["text"]) for d, r in a.items()], 5, 80)
             assert set(b) == {d for d, (_, c) in groups.items() if c == d}
-            assert minhash is not None
         elif name == "decontamination":
             bad = {r["doc_id"] for r in decontam.contaminated(before, C.table(spark, SMALL, "benchmark")).collect()}
             assert set(b) == set(a) - bad
         elif name == "pii":
-            assert set(a) == set(b) and any(a[d]["text"] != b[d]["text"] for d in a)
+            found = {d: regex.findall(pii.ANY, r["text"] or "") for d, r in a.items()}
+            assert set(a) == set(b) and any(found.values())
+            for d, r in b.items():
+                assert (r["text"] == a[d]["text"]) == (not found[d]) and r["n_chars"] == len(r["text"]) and r["lang"] == a[d]["lang"]
+                rest = iter(regex.split(pii.ANY, a[d]["text"]))
+                assert all(piece in r["text"] for piece in rest)
         else:
-            assert set(a) == set(b)
+            plan = {r["doc_id"]: r for r in mixing.mix_sources(before).collect()}
+            assert set(b) == {d for d, r in plan.items() if r["taken"]}
+            for d, r in b.items():
+                own = words(a[d]["text"])
+                low = own * plan[d]["passes"] + [w for s in plan[d]["spans"] for w in own[s["start"] : s["start"] + s["length"]]]
+                assert words(r["text"]) == low and r["taken"] == len(low) == plan[d]["taken"]
         before = after
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.run(spark, SMALL).collect()}
+    assert got == {r["doc_id"]: r["text"] for r in before.collect()}
+
+
+def test_stages_on_odd_rows(spark, odd, tmp_path):
+    """Null and empty texts, null and repeated ids, repeated rows, clashing extra columns, an empty table: all stages, one by one."""
+    import corpus_pipeline
+
+    extra = ("key", "hits", "label", "score", "predicted", "digest", "component_id", "passes", "share")
+    wide = odd.select("*", F.lit(3).alias("n_chars"), *(F.lit("clash").alias(c) for c in extra if c not in odd.columns))
+    for name, step in corpus_pipeline.STAGES:
+        out = step(spark, wide, SMALL)
+        assert set(wide.columns) <= set(out.columns)
+        if name != "mixing":
+            assert out.columns == wide.columns
+        rows = out.collect()
+        assert len(rows) <= len(ODD) and all(r["label"] == "clash" for r in rows)
+        if name == "pii":
+            assert len(rows) == len(ODD)
+        assert step(spark, wide.limit(0), SMALL).count() == 0
