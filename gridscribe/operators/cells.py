@@ -18,20 +18,35 @@ def exploded(rows: DataFrame) -> DataFrame:
     return rows.select("table_id", "row", F.posexplode("cells").alias("col", "text")).withColumn("text", T.strip(F.col("text")))
 
 
-def canonical(rows: DataFrame, most: int = T.CELL_MAX, size: T.Sizer = T.token_size) -> DataFrame:
+def spellings(rows: DataFrame) -> tuple[DataFrame, int]:
+    """(table_id, col, key, first) of the keys that are spelled in several ways, and how many they are.
+
+    Whether a key has several spellings is told by hashes, so this is a hash aggregation of numbers; only cells whose hashed key has
+    are compared by their texts.
+    """
+    from gridscribe.plans.staging import written
+
+    cells = exploded(rows).withColumn("key", T.cell_key(F.col("text"))).withColumn("h", F.xxhash64("key"))
+    some = cells.groupBy("table_id", "col", "h").agg(F.min(F.xxhash64("text")).alias("low"), F.max(F.xxhash64("text")).alias("high")).filter("low <> high")
+    some = written(some.select("table_id", "col", "h"), "spellings")
+    n = some.count()
+    if not n:
+        return some.select("table_id", "col", F.lit("").alias("key"), F.lit("").alias("first")), 0
+    few = F.broadcast(some) if n <= BROADCAST_ROWS else some
+    first = cells.join(few, ["table_id", "col", "h"]).groupBy("table_id", "col", "key").agg(F.min_by("text", "row").alias("first"))
+    return written(first, "firsts"), n
+
+
+def canonical(rows: DataFrame, most: int = T.CELL_MAX, size: T.Sizer = T.token_size, ways: tuple[DataFrame, int] | None = None) -> DataFrame:
     """table_id, row, col, key, text, size: a cell's text is the first spelling of its key in its column.
 
     Sizes don't depend on the spelling, so only the keys that are spelled in several ways are joined back, and they are few: the
     other cells never move.
     """
-    from gridscribe.plans.staging import written
-
+    first, n = ways or spellings(rows)
     cells = exploded(rows).withColumn("key", T.cell_key(F.col("text")))
-    ways = cells.groupBy("table_id", "col", "key").agg(F.min("text").alias("low"), F.max("text").alias("high"), F.min_by("text", "row").alias("first")).filter("low <> high")
-    ways = written(ways.select("table_id", "col", "key", "first"), "spellings")
-    n = ways.count()
     if n:
-        cells = cells.join(F.broadcast(ways) if n <= BROADCAST_ROWS else ways, ["table_id", "col", "key"], "left").withColumn("text", F.coalesce("first", "text"))
+        cells = cells.join(F.broadcast(first) if n <= BROADCAST_ROWS else first, ["table_id", "col", "key"], "left").withColumn("text", F.coalesce("first", "text"))
     text, n_tokens = T.truncated(F.col("text"), most, size)
     return cells.select("table_id", "row", "col", "key", text.alias("text"), n_tokens.alias("size"))
 
@@ -50,19 +65,33 @@ def cell_types(rows: DataFrame) -> DataFrame:
 def column_types(rows: DataFrame, columns: DataFrame, span: int = 4096) -> DataFrame:
     """The first type that has enough cells (three; one polygon), in row order; null if none has.
 
-    The first three rows of each type of a column decide. Cells are counted by spans of rows first, so that only the spans that
-    hold these rows are looked at again: nothing is sorted but a few thousand cells a column.
+    Most columns are decided by their first rows, so the first span of rows is looked at first. Of the columns it leaves open all
+    cells are typed: they are counted by spans of rows, and the spans that hold the first three rows of a type are looked at
+    again. Nothing is sorted but a few thousand cells a column.
     """
-    at = F.floor(F.col("row") / span).cast("int")
-    typed = cell_types(rows).filter("type IS NOT NULL").withColumn("span", at)
+    from gridscribe.plans.staging import written
+
+    def best(typed: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("table_id", "col", "type").orderBy("row"))
+        hits = typed.withColumn("k", rank).filter("k <= 3").filter((F.col("k") == 3) | (F.col("type") == "POLYGON") & (F.col("k") == 1))
+        return hits.groupBy("table_id", "col").agg(F.min_by("type", "row").alias("type"))
+
+    early = written(best(cell_types(rows.filter(F.col("row") < span)).filter("type IS NOT NULL")), "early-types")
+    every = columns.select("table_id", "col")
+    left = written(every.join(early, ["table_id", "col"], "left_anti").groupBy("table_id").agg(F.sort_array(F.collect_list("col")).alias("cols")), "open-columns")
+    if left.isEmpty():
+        return every.join(early, ["table_id", "col"], "left")
+    late = rows.join(F.broadcast(left) if left.count() <= BROADCAST_ROWS else left, "table_id")
+    cell = lambda c: F.struct(c.alias("col"), T.strip(F.get("cells", c)).alias("text"))
+    cells = late.select("table_id", "row", F.explode(F.transform("cols", cell)).alias("c")).select("table_id", "row", "c.col", T.infer_type(F.col("c.text")).alias("type"))
+    typed = cells.filter("type IS NOT NULL").withColumn("span", F.floor(F.col("row") / span).cast("int"))
     counted = typed.groupBy("table_id", "col", "type", "span").agg(F.count("*").alias("n"))
     w = Window.partitionBy("table_id", "col", "type").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    spans = counted.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).filter("before < 3").select("table_id", "col", "type", "span")
-    first = typed.join(spans, ["table_id", "col", "type", "span"])
-    rank = F.row_number().over(Window.partitionBy("table_id", "col", "type").orderBy("row"))
-    hits = first.withColumn("k", rank).filter("k <= 3").filter((F.col("k") == 3) | (F.col("type") == "POLYGON") & (F.col("k") == 1))
-    best = hits.groupBy("table_id", "col").agg(F.min_by("type", "row").alias("type"))
-    return columns.select("table_id", "col").join(best, ["table_id", "col"], "left")
+    spans = written(counted.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).filter("before < 3").select("table_id", "col", "type", "span"), "type-spans")
+    found = early
+    if not spans.isEmpty():
+        found = early.unionByName(best(typed.join(spans, ["table_id", "col", "type", "span"])))
+    return every.join(found, ["table_id", "col"], "left")
 
 
 def classes(cells: DataFrame) -> DataFrame:
@@ -146,11 +175,34 @@ def schema_blocks(columns: DataFrame, budget: int = int(T.WINDOW * T.HEADER_SHAR
     return blocks.withColumn("h", inner).select("table_id", "title", "title_size", "block_id", F.transform("c", lambda c: c["col"]).alias("cols"), F.transform("c", lambda c: c["name"]).alias("names"), F.transform("c", lambda c: c["size"]).alias("name_sizes"), header.alias("header"), F.aggregate("c", F.lit(0), lambda a, c: a + c["size"] + 1).alias("header_size"))
 
 
-def packed_rows(tables: TableSet, cells: DataFrame, blocks: DataFrame, order: DataFrame | None = None) -> DataFrame:
-    """One row per table row and block, ready for packing: its cells in column order, and where it stands (ord)."""
-    own = blocks.select("table_id", "block_id", F.explode("cols").alias("col"))
-    # a table has few columns: their blocks are broadcast by Spark if their size says so
-    grouped = cells.join(own, ["table_id", "col"]).groupBy("table_id", "block_id", "row").agg(F.sort_array(F.collect_list(F.struct("col", "text", "size", "key"))).alias("cells"))
+def packed_rows(rows: DataFrame, blocks: DataFrame, order: DataFrame | None = None, size: T.Sizer = T.token_size, ways: tuple[DataFrame, int] | None = None) -> DataFrame:
+    """One row per table row and block, ready for packing: its cells in column order, where it stands (ord), its block's layout.
+
+    Rows of tables without keys in several spellings are rendered where they lie; only the other tables' cells are taken out, corrected
+    and collected again.
+    """
+    first, n = ways or spellings(rows)
+    plain = rows
+    if n:
+        mixed = first.select("table_id").distinct()
+        few = mixed.count() <= BROADCAST_ROWS
+        plain = rows.join(F.broadcast(mixed) if few else mixed, "table_id", "left_anti")
+
+    def cell(c: Column) -> Column:
+        text = T.strip(F.get("cells", c))
+        shown, n_tokens = T.truncated(text, T.CELL_MAX, size)
+        return F.struct(c.alias("col"), shown.alias("text"), n_tokens.alias("size"), F.lower(text).alias("key"))
+
+    wide = plain.select("table_id", "row", "cells").join(blocks, "table_id")
+    # a column that a short row lacks has no cell
+    held = F.transform(F.filter("cols", lambda c: F.get("cells", c).isNotNull()), cell)
+    out = wide.withColumn("cells", held).filter(F.size("cells") > 0)
+    if n:
+        own = blocks.select("table_id", "block_id", F.explode("cols").alias("col"))
+        part = rows.join(F.broadcast(mixed) if few else mixed, "table_id", "left_semi")
+        cells = canonical(part, size=size, ways=(first, n)).join(own, ["table_id", "col"])
+        grouped = cells.groupBy("table_id", "block_id", "row").agg(F.sort_array(F.collect_list(F.struct("col", "text", "size", "key"))).alias("cells"))
+        out = out.unionByName(grouped.join(blocks, ["table_id", "block_id"]).select(*out.columns))
     if order is None:
-        return grouped.withColumn("ord", F.col("row"))
-    return grouped.join(order, ["table_id", "row"])
+        return out.withColumn("ord", F.col("row"))
+    return out.join(order, ["table_id", "row"])

@@ -173,8 +173,9 @@ def chunked(rows: DataFrame, fold: Callable[[tuple], object], schema: str = PASS
     spread = rows.withColumn("of", of)
     dealt = lambda df: df.repartition(*PARTS).sortWithinPartitions(*PARTS, "ord")
 
-    def begun(row):
+    def begun(row, quiet: bool = True):
         state = fold(row)
+        state.quiet = quiet
         state.add(row)
         return state
 
@@ -255,7 +256,7 @@ def chunked(rows: DataFrame, fold: Callable[[tuple], object], schema: str = PASS
                 state = fold(mine[0])
             else:
                 before = [r for r in back if r.ord >= begin]
-                state = begun(before[0])
+                state = begun(before[0], quiet=False)
                 for r in before[1:]:
                     state.add(r)
             state.window = window
@@ -274,6 +275,8 @@ class Coded:
     The cost of a window is exact at any time: a key of x tokens that occurs y times costs min(y * x, y + x + 3).
     """
 
+    quiet = False  # whether windows are only counted
+
     def __init__(self, row, limit: int, code_cells: bool = True, code_headers: bool = False, show_header: bool = True, by_plain_size: bool = False, joint: str = " ; "):
         self.key, self.limit, self.code_cells, self.code_headers = (row.table_id, row.block_id), limit, code_cells, code_headers
         self.title, self.title_size = row.title, row.title_size
@@ -356,6 +359,10 @@ class Coded:
     def end(self) -> list[tuple]:
         if not self.rows:
             return []
+        if self.quiet:
+            self.window += 1
+            self.clear()
+            return [()]
         codes, heads = self.coded()
         used = [heads[h] for h in sorted(heads)] + [code for code, _ in codes.values()]
         out = (*self.key, self.window, self.text(codes, heads), self.size, [r for r, _ in self.rows], [[int(x) for c in cells for x in (c["cols"] if "cols" in c else [c["col"]])] for _, cells in self.rows], used)
@@ -376,8 +383,8 @@ class Paired(Coded):
     def end(self) -> list[tuple]:
         rows = self.rows
         out = super().end()
-        if not out:
-            return []
+        if not out or self.quiet:
+            return out
         self.rows = rows
         plain = self.text({}, {})
         self.clear()
@@ -391,6 +398,8 @@ class CellWindows:
     starts the next window as it was rendered.
     """
 
+    quiet = False
+
     def __init__(self, row, limit: int, flush_rows: bool):
         self.key, self.limit, self.flush_rows = (row.table_id, row.block_id), limit, flush_rows
         self.title, self.title_size, self.window = f"{row.title} [SEP]", row.title_size + 1, 0
@@ -422,11 +431,6 @@ class CellWindows:
         return [out]
 
 
-def with_layout(rows: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Rows with their block's title, header and column names (one row per block: Spark broadcasts it if it is small)."""
-    return rows.join(blocks, ["table_id", "block_id"])
-
-
 def with_passage_ids(passages: DataFrame) -> DataFrame:
     from gridscribe.plans.staging import numbered
 

@@ -80,15 +80,30 @@ NUMBER = r"^[+-]?[0-9]+(\.[0-9]+)?$"
 CONDITION = "array<struct<col:int,name:string,op:string,value:string,value_2:string,sql:string>>"
 
 
-def sql_templates(rows: DataFrame, columns: DataFrame, types: DataFrame, per_table: int = 10) -> DataFrame:
+def sql_templates(rows: DataFrame, columns: DataFrame, types: DataFrame, per_table: int = 10, look_at: int = 64) -> DataFrame:
     """(table_id, id, row, sel_col, aggregate, conditions, sql): templates from hash-chosen rows and columns.
 
     One or two conditions (one where a table has fewer than three columns) from one row, joined by `and`. In a column of numbers
     a condition asks for the cell's value, more than a little less, less than a little more, or between the two: little
     is 0 to 9, tenths of it in a column of decimals. Other cells are asked for by equality. A selected column of numbers may be
     aggregated by its extremes, mean or sum, any by its count. A drawn row whose condition cells aren't all filled is
-    passed over, and the next one takes its place. Rows are chosen before any cell is looked at one by one.
+    passed over, and the next one takes its place. The first `look_at` rows by hash of each table are drawn from at first; only
+    tables in which these don't hold enough filled ones are looked at as a whole.
     """
+    from gridscribe.plans.staging import written
+
+    ahead = hash_place(["table_id"], "table_id", "row")
+    some = written(rows.select("table_id", "row", "cells").withColumn("ahead", ahead).filter(F.col("ahead") <= look_at).drop("ahead"), "drawn")
+    first = written(_templates_of(some, columns, types, per_table), "templates")
+    held = some.groupBy("table_id").agg(F.count("*").alias("n")).filter(F.col("n") >= look_at)
+    short = held.join(first.groupBy("table_id").agg(F.count("*").alias("got")), "table_id", "left").filter(F.coalesce("got", F.lit(0)) < per_table).select("table_id")
+    short = written(short, "short")
+    if short.isEmpty():
+        return first
+    return first.join(short, "table_id", "left_anti").unionByName(_templates_of(rows.join(short, "table_id", "left_semi"), columns, types, per_table))
+
+
+def _templates_of(rows: DataFrame, columns: DataFrame, types: DataFrame, per_table: int) -> DataFrame:
     heads = columns.groupBy("table_id").agg(F.sort_array(F.collect_list(F.struct("col", "name"))).alias("heads"))
     kinds = types.groupBy("table_id").agg(F.sort_array(F.collect_list(F.struct("col", F.coalesce("type", F.lit("")).alias("type")))).alias("kinds"))
     both = heads.join(kinds, "table_id", "left").withColumn("n_cols", F.size("heads"))  # one row a table

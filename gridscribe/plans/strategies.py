@@ -16,7 +16,7 @@ STRATEGIES = ("block", "1_row_block", "schema", "compress", "schema_cell_coding"
 
 def _order(tables: TableSet, cells: DataFrame, skip_numeric: bool = False) -> DataFrame:
     skip = O.numeric_columns(O.column_types(tables.rows, tables.columns)).filter("skip") if skip_numeric else None
-    bins = O.hash_bins(cells, skip)
+    bins = written(O.hash_bins(cells, skip), "bins")
     return O.row_order(tables.rows, bins, O.bin_order(O.bin_gains(cells, bins)))
 
 
@@ -27,7 +27,7 @@ def _one_block(tables: TableSet, size: T.Sizer = T.token_size) -> DataFrame:
 def schema_rows(tables: TableSet, sep_repeat: int = 2, size: T.Sizer = T.token_size) -> DataFrame:
     """Rows of the schema strategy with text and size; sep_repeat: separators after a cell (2, or 1 for a fair ratio)."""
     blocks = O.schema_blocks(tables.columns, size=size)
-    rows = P.with_layout(O.packed_rows(tables, O.canonical(tables.rows, size=size), blocks), blocks)
+    rows = O.packed_rows(tables.rows, blocks, size=size)
     joint, last = " ; " * sep_repeat, (" ; " * sep_repeat).rstrip()[:-1] + " [SEP] "
     text = F.concat("title", F.lit(" [SEP] "), F.array_join(F.transform("cells", lambda c: c["text"]), joint), F.lit(last))
     row_size = F.col("title_size") + 1 + F.aggregate("cells", F.lit(0), lambda a, c: a + c["size"] + sep_repeat)
@@ -51,10 +51,6 @@ def schema_passages(tables: TableSet, sep_repeat: int = 2, limit: int = WINDOW,
     )
 
 
-def _folded(tables: TableSet, cells: DataFrame, blocks: DataFrame, order: DataFrame | None, fold, schema: str = P.PASSAGES) -> DataFrame:
-    return P.chunked(P.with_layout(O.packed_rows(tables, cells, blocks, order), blocks), fold, schema)
-
-
 def serialize(tables: TableSet, strategy: str, limit: int = WINDOW, size: T.Sizer = T.token_size, skip_numeric: bool = False, **options) -> DataFrame:
     """Passages of a strategy; an unknown name fails here, on the driver.
 
@@ -64,32 +60,32 @@ def serialize(tables: TableSet, strategy: str, limit: int = WINDOW, size: T.Size
         raise ValueError(f"unknown strategy {strategy!r}, known are {', '.join(STRATEGIES)}")
     if strategy == "schema":
         return schema_passages(tables, limit=limit, size=size, **options)
-    cells = O.canonical(tables.rows, size=size)
     if strategy in ("block", "1_row_block"):
+        rows = O.packed_rows(tables.rows, _one_block(tables, size), size=size)
         if strategy == "1_row_block":
-            return _folded(tables, cells, _one_block(tables, size), None, lambda row: P.CellWindows(row, limit, True))
+            return P.chunked(rows, lambda row: P.CellWindows(row, limit, True))
         # its windows begin at any cell, which no row tells: one task per table
-        blocks = _one_block(tables, size)
-        return P.folded(P.with_layout(O.packed_rows(tables, cells, blocks), blocks), lambda row: P.CellWindows(row, limit, False))
+        return P.folded(rows, lambda row: P.CellWindows(row, limit, False))
+    ways = O.spellings(tables.rows)
+    cells = written(O.canonical(tables.rows, size=size, ways=ways), "cells")  # read for the bins and their gains, or the agree sets
     if strategy == "agree_coding":
         return agree.passages(tables, cells, limit, size)
-    cells = written(cells, "cells")  # read for the bins, their gains and the packing
-    blocks, order = O.schema_blocks(tables.columns, size=size), _order(tables, cells, skip_numeric)
+    rows = O.packed_rows(tables.rows, O.schema_blocks(tables.columns, size=size), _order(tables, cells, skip_numeric), size, ways)
     if strategy == "compress":
-        return _folded(tables, cells, blocks, order, lambda row: P.Coded(row, limit))
+        return P.chunked(rows, lambda row: P.Coded(row, limit))
     if strategy == "schema_cell_coding":
-        return _folded(tables, cells, blocks, order, lambda row: P.Coded(row, limit, code_headers=True))
+        return P.chunked(rows, lambda row: P.Coded(row, limit, code_headers=True))
     if strategy == "schema_coding":
-        return _folded(tables, cells, blocks, order, lambda row: P.Coded(row, limit, code_cells=False, code_headers=True, show_header=False))
-    return _folded(tables, cells, blocks, order, lambda row: P.Paired(row, limit), P.PASSAGES + ", scm_passage string")
+        return P.chunked(rows, lambda row: P.Coded(row, limit, code_cells=False, code_headers=True, show_header=False))
+    return P.chunked(rows, lambda row: P.Paired(row, limit), P.PASSAGES + ", scm_passage string")
 
 
 def decompressed(tables: TableSet, passages: DataFrame, limit: int = WINDOW) -> DataFrame:
     """Base passages: the cells that passages tell in their tags, serialized row by row."""
-    tag = passages.select("table_id", F.explode(F.arrays_zip("rows", "cols")).alias("t")).select("table_id", F.col("t.rows").alias("row"), F.explode("t.cols").alias("col")).distinct()
-    cells = O.canonical(tables.rows).join(tag, ["table_id", "row", "col"])
-    blocks = _one_block(tables)
-    rows = P.with_layout(O.packed_rows(tables, cells, blocks), blocks)
+    tag = passages.select("table_id", F.explode(F.arrays_zip("rows", "cols")).alias("t")).select("table_id", F.col("t.rows").alias("row"), F.explode("t.cols").alias("shown"))
+    shown = tag.groupBy("table_id", "row").agg(F.collect_set("shown").alias("shown"))
+    rows = O.packed_rows(tables.rows, _one_block(tables)).join(shown, ["table_id", "row"])
+    rows = rows.withColumn("cells", F.filter("cells", lambda c: F.array_contains("shown", c["col"]))).drop("shown").filter(F.size("cells") > 0)
     return P.chunked(rows, lambda row: P.CellWindows(row, limit, True))
 
 

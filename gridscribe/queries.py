@@ -10,6 +10,7 @@ from gridscribe.functions.registered import register
 from gridscribe.operators import agree as A, cells as O, packing as P, prompts as M, questions as Q, retrieval as R
 from gridscribe.plans import strategies as S
 from gridscribe.plans.oracle import ORACLE  # noqa: F401
+from gridscribe.plans.staging import written
 from gridscribe.sources import sinks as K
 from gridscribe.sources.tables import TableSet, from_relation, grid_rows, relation, short_name
 
@@ -80,7 +81,7 @@ def hash_bins(spark, d):
 
 
 def bin_gain(spark, d):
-    cells = canonical(spark, d, "part")
+    cells = written(canonical(spark, d, "part"), "cells")
     return O.bin_gains(cells, O.hash_bins(cells))
 
 
@@ -90,8 +91,8 @@ def bin_ranking(spark, d):
 
 def compress_row_order(spark, d):
     t = tables(spark, d, "part")
-    cells = O.canonical(t.rows)
-    bins = O.hash_bins(cells)
+    cells = written(O.canonical(t.rows), "cells")
+    bins = written(O.hash_bins(cells), "bins")
     return O.row_order(t.rows, bins, O.bin_order(O.bin_gains(cells, bins))).select("table_id", "row", F.col("ord").cast("long").alias("ord"))
 
 
@@ -107,7 +108,7 @@ def first_fit_bins(spark, d):
 
 def block_cells(spark, d):
     t = tables(spark, d, "supplier")
-    rows = P.with_layout(O.packed_rows(t, O.canonical(t.rows), b := O.schema_blocks(t.columns, 1 << 30)), b)
+    rows = O.packed_rows(t.rows, O.schema_blocks(t.columns, 1 << 30))
     last = F.size("cells") - 1
     part = F.transform("cells", lambda c, i: F.struct(i.alias("i"), F.concat(F.when(i == 0, F.concat("title", F.lit(" [SEP]"))).otherwise(F.lit("")), F.get("names", i), F.lit(" : "), c["text"], F.lit(" "), F.when(i == last, "[SEP]").otherwise(";"), F.lit(" ")).alias("text"), (F.when(i == 0, F.col("title_size") + 1).otherwise(0) + F.get("name_sizes", i) + 1 + c["size"] + 1).alias("size")))
     return rows.select("table_id", "row", F.explode(part).alias("p")).select("table_id", "row", F.col("p.i").alias("col"), F.col("p.text").alias("text"), F.col("p.size").cast("long").alias("size"))
@@ -437,5 +438,5 @@ def sql_functions(spark, d):
     )
 
 
-_SKIP = {"register", "tables", "canonical", "relation", "from_relation", "short_name", "grid_rows"}
+_SKIP = {"register", "written", "tables", "canonical", "relation", "from_relation", "short_name", "grid_rows"}
 QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and not k.startswith("_") and getattr(v, "__module__", "") == __name__ and k not in _SKIP}

@@ -71,6 +71,23 @@ def test_first_spelling_of_a_key(spark, monkeypatch):
         assert got[5, 0] == got[4, 0] and got[4, 0][1:] == (" ".join(["w"] * 30), 30) and len(got) == 12
 
 
+def test_rows_with_several_spellings_are_packed_alike(spark):
+    """Tables with and without several spellings, short rows: the same as taking all cells out."""
+    a = make(spark, [["Foo", "x"], ["foo", "y"], ["FOO"], ["bar", "Y"]], ["p", "q"], "mixed")
+    b = make(spark, [["one", "Two"], ["three"], ["", ""]], ["p", "q"], "plain")
+    t = X.TableSet(a.rows.unionByName(b.rows), a.columns.unionByName(b.columns))
+    cells = {}
+    for r in O.canonical(t.rows).collect():
+        cells.setdefault((r["table_id"], r["row"]), []).append((r["col"], r["text"], r["size"], r["key"]))
+    for budget in (50, 2):
+        blocks = O.schema_blocks(t.columns, budget)
+        got = O.packed_rows(t.rows, blocks).collect()
+        for r in got:
+            assert [tuple(c) for c in r["cells"]] == [c for c in sorted(cells[r["table_id"], r["row"]]) if c[0] in r["cols"]]
+        assert {(r["table_id"], r["row"], c["col"]) for r in got for c in r["cells"]} == {(*k, c[0]) for k, v in cells.items() for c in v}
+        assert sum(len(r["cells"]) for r in got) == sum(len(v) for v in cells.values())
+
+
 def test_column_units():
     assert A.units_of([1, 1, 1, 1], [1, 3], 50) == [([0], False), ([1, 3], True), ([2], False)]
     assert A.units_of([1, 1, 1], [], 50) == [([0], False), ([1], False), ([2], False)]
@@ -131,7 +148,7 @@ def test_templates_hold_for_their_own_row(spark):
         return x is not None and (x > float(c["value"]) if c["op"] == ">" else x < float(c["value"]) if c["op"] == "<" else float(c["value"]) - 1e-9 <= x <= float(c["value_2"]) + 1e-9)
 
     rows = templates.collect()
-    assert len(rows) == 40
+    assert len(rows) == 40 and sorted(map(str, rows)) == sorted(map(str, Q.sql_templates(t.rows, t.columns, O.column_types(t.rows, t.columns), 40, look_at=41).collect()))
     for r in rows:
         cols = [c["col"] for c in r["conditions"]]
         assert len(set([r["sel_col"], *cols])) == len(cols) + 1 <= 3 and all(grid[r["row"]][c] != "" for c in cols)
@@ -177,7 +194,7 @@ def test_chunked_passages_are_those_of_one_pass(spark, kind):
     }[kind]
     schema = P.PASSAGES + (", scm_passage string" if kind == "paired" else "")
     blocks = O.schema_blocks(t.columns)
-    rows = staging.written(P.with_layout(O.packed_rows(t, O.canonical(t.rows), blocks), blocks), "test")
+    rows = staging.written(O.packed_rows(t.rows, blocks), "test")
     plain = lambda df: sorted(map(str, df.collect()))
     want = plain(P.folded(rows, fold, schema))
     assert len(want) > 20
