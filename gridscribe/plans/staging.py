@@ -48,18 +48,24 @@ def _quietly(what, *args) -> None:
 
 
 def written(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
-    """df written and read back: later reads neither recompute it nor need the executors that made it. keep: beyond a scratch block."""
+    """df written and read back: later reads neither recompute it nor need the executors that made it.
+
+    keep: it outlives the scratch block that it is written in, and goes with the one around that.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    if _scratch and not keep:
-        _scratch[-1].append(path)
+    if len(_scratch) > keep:
+        _scratch[-1 - keep].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes at its end what was written inside: no DataFrame that reads it may be used after."""
+    """Deletes at its end what was written inside: no DataFrame that reads it may be used after.
+
+    The shuffles behind it are garbage then; a collection in the driver lets Spark remove their files.
+    """
     own: list[str] = []
     _scratch.append(own)
     try:
@@ -69,6 +75,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         for name in own:
             path = spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        spark._jvm.System.gc()
 
 
 def numbered(df: DataFrame, order: list, name: str = "row") -> DataFrame:
