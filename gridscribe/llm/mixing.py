@@ -107,14 +107,22 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), C.n_words(F.col("text").cast("string")).alias("size"),
         F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text").isNull(), F.col("text")).alias("key"), *([carry.alias("carried")] if carry is not None else []),
     )
-    named = C.stage(named.withColumn("no_source", F.col("source").isNull()).withColumn("named", F.coalesce("source", F.lit(""))), "mix-sizes")
+    # what comes along is not written: the sizes are, and the rows that carry more are told by their texts once more
+    full = named = named.withColumn("no_source", F.col("source").isNull()).withColumn("named", F.coalesce("source", F.lit("")))
+    named = C.stage(named.drop("carried"), "mix-sizes")
+    with C.scratch(docs.sparkSession):
+        return _mix(full if carry is not None else named, named, weights, share, most, block_tokens, shard_tokens, seed)
+
+
+def _mix(full: DataFrame, named: DataFrame, weights: Sequence[float], share: float, most: int, block_tokens: int, shard_tokens: int, seed: int) -> DataFrame:
+    carries = "carried" in full.columns
     sources = named.groupBy("named", "no_source").agg(F.sum("size").alias("n"), F.count("*").alias("n_docs"))
     sources = C.stage(numbered(sources, ["no_source", "named"], "at"), "sources")
     total = sources.agg(F.sum("n"), F.count("*")).first()
     if not total[1]:
         kind = "doc_id long, source string, size long, source_size long, target double, shard_quota long, shard_blocks long, passes long, spans array<struct<start:long,length:long>>, taken long"
-        empty = docs.sparkSession.createDataFrame([], kind)
-        return empty if carry is None else empty.withColumn("carried", F.lit(None).cast(named.schema["carried"].dataType))
+        empty = full.sparkSession.createDataFrame([], kind)
+        return empty.withColumn("carried", F.lit(None).cast(full.schema["carried"].dataType)) if carries else empty
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("at") % len(weights) + 1).cast("int"))
     goals = targets(sources.withColumn("weight", weight), share * total[0], most)
     goals = goals.withColumn("share", F.col("target")).withColumn("one", F.lit(1))
@@ -124,15 +132,15 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     few = total[1] <= BROADCAST_ROWS
     # a shard has a bounded number of words and of documents
     plan = goals.join(F.broadcast(quotas) if few else quotas, "at").select("named", "no_source", F.col("n").alias("source_size"), "target", "source_quota", F.ceil((F.col("n") + F.col("n_docs")) / shard_tokens).alias("n_shards"))
-    plan = C.stage(plan, "mix-plan")
-    dealt = spread(named, plan, ["named", "no_source"], few, F.col("key")).withColumn("shard", F.pmod(F.xxhash64("key"), "n_shards"))
+    plan = C.stage(plan, "mix-plan", keep=True)
+    deal = lambda rows: spread(rows, plan, ["named", "no_source"], few, F.col("key")).withColumn("shard", F.pmod(F.xxhash64("key"), "n_shards"))
 
-    shards = dealt.groupBy("named", "no_source", "shard").agg(F.sum("size").alias("share"), F.max("source_quota").alias("seats"))
+    shards = deal(named).groupBy("named", "no_source", "shard").agg(F.sum("size").alias("share"), F.max("source_quota").alias("seats"))
     shards = apportioned(shards, ["named", "no_source"], ["shard"]).withColumn("n_blocks", F.ceil(F.col("share") / block_tokens))
-    shards = shards.select("named", "no_source", "shard", "n_blocks", F.least("quota", most * F.col("n_blocks")).alias("quota"))
+    shards = C.stage(shards.select("named", "no_source", "shard", "n_blocks", F.least("quota", most * F.col("n_blocks")).alias("quota")), "mix-shards", keep=True)
     in_shard = Window.partitionBy("named", "no_source", "shard").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
-    x = dealt.join(shards, ["named", "no_source", "shard"]).withColumn("end", F.sum("size").over(in_shard)).withColumn("begin", F.col("end") - F.col("size"))
+    x = deal(full).join(shards, ["named", "no_source", "shard"]).withColumn("end", F.sum("size").over(in_shard)).withColumn("begin", F.col("end") - F.col("size"))
     nb = F.greatest("n_blocks", F.lit(1))
     x = x.withColumn("passes", F.expr("quota div greatest(n_blocks, 1)")).withColumn("extra", F.col("quota") % nb).withColumn("phase", F.pmod(F.xxhash64(F.lit(seed), "named", "shard"), nb))
     # of the blocks before block i the draw takes (i * extra + phase) div n_blocks: extra of all, evenly, from a seeded phase
@@ -144,7 +152,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     spans = F.when((F.col("size") > 0) & (F.col("extra") > 0), F.transform(F.filter(blocks, lambda i: before(i + 1) > before(i)), span)).otherwise(none)
     x = x.withColumn("spans", spans)
     taken = F.when(F.col("size") > 0, F.col("passes") * F.col("size") + F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["length"])).otherwise(0)
-    return x.select("doc_id", "source", "size", "source_size", "target", F.col("quota").cast("long").alias("shard_quota"), F.col("n_blocks").cast("long").alias("shard_blocks"), "passes", "spans", taken.cast("long").alias("taken"), *(["carried"] if carry is not None else []))
+    return x.select("doc_id", "source", "size", "source_size", "target", F.col("quota").cast("long").alias("shard_quota"), F.col("n_blocks").cast("long").alias("shard_blocks"), "passes", "spans", taken.cast("long").alias("taken"), *(["carried"] if carries else []))
 
 
 def mixed_text(text: Column, size: Column, passes: Column, spans: Column) -> Column:
