@@ -229,26 +229,26 @@ def links_of_centres(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFra
 
 
 def settled_in_blocks(rest: DataFrame, sets: DataFrame, percent: int, block: int = 512, held_bytes: int = 4 << 20, passing_rows: int = 1 << 15) -> DataFrame:
-    """Links (a, b) of the buckets rest (key, rep, c: component, size): all sets of a bucket that may be similar are compared."""
+    """Links (a, b) of the buckets rest (key, rep, c: component, size): all sets of a bucket that may be similar are compared.
+
+    Of two sets that could join components one at least is outside the bucket's largest component: those are held, all pass.
+    """
     # sets whose sizes differ by more than the similarity allows can't be linked: classes that are two apart
     rest = rest.withColumn("size_class", F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int"))
-    dealt = rest.groupBy("key", "size_class").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
-    dealt = dealt.select("key", "size_class", "n", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("total") * 8 / held_bytes)).cast("int").alias("blocks"), F.ceil(F.col("n") / passing_rows).cast("int").alias("parts"))
-    dealt = C.stage(dealt, "size-classes")
-    rows = C.counted_join(rest, dealt, ["key", "size_class"])
-    rows = C.stage(rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("part", F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("parts")).cast("int")), "dealt")
-    numbers = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    # each block is held once for each part of its own class and of the next one; parts of the next class have numbers below 0
-    after = dealt.select("key", (F.col("size_class") - 1).alias("size_class"), F.col("parts").alias("after"))
-    held = C.counted_join(rows.select("key", "size_class", "rep", "c", F.col("own").alias("block")), C.stage(dealt.join(after, ["key", "size_class"], "left").select("key", "size_class", "n", "parts", F.coalesce("after", F.lit(0)).alias("after")), "holders"), ["key", "size_class"])
-    both = F.concat(F.sequence(F.lit(0), F.col("parts") - 1), F.when(F.col("after") > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.col("after"), F.lit(1))), lambda i: -i)).otherwise(F.array().cast("array<int>")))
-    held = held.select("key", "size_class", "block", F.explode(both).alias("part"), F.lit(0).alias("passing"), "rep", "c")
-    # a set passes the blocks of its class from its own on, and all blocks of the class below
-    same = rows.select("key", "size_class", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("block"), "part", F.lit(1).alias("passing"), "rep", "c")
-    below = C.stage(dealt.select("key", (F.col("size_class") + 1).alias("size_class"), F.col("blocks").alias("below")).join(dealt.select("key", "size_class", "n"), ["key", "size_class"]), "below")
-    lower = C.counted_join(rows.select("key", "size_class", "part", "rep", "c"), below, ["key", "size_class"])
-    lower = lower.select("key", (F.col("size_class") - 1).alias("size_class"), numbers(F.col("below")).alias("block"), (-1 - F.col("part")).alias("part"), F.lit(1).alias("passing"), "rep", "c")
-    every = held.unionByName(same).unionByName(lower)
+    counted = rest.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "c"))["c"].alias("largest"), F.sum("m").alias("n"))
+    rest = C.stage(C.counted_join(rest, C.stage(counted, "largest"), ["key"]).withColumn("holds", F.col("c") != F.col("largest")).select("key", "size_class", "rep", "c", "size", "holds"), "dealt")
+    classes = C.stage(rest.groupBy("key", "size_class").agg(F.count("*").alias("n"), F.sum(F.col("holds").cast("long")).alias("held"), F.sum(F.when(F.col("holds"), F.col("size")).otherwise(0)).alias("total")), "size-classes")
+    near = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1))
+    passers = classes.select("key", near("size_class").alias("size_class"), "n").groupBy("key", "size_class").agg(F.sum("n").alias("n"))
+    holders = classes.filter("held > 0").select("key", "size_class", "held", F.greatest(F.ceil(F.col("held") / block), F.ceil(F.col("total") * 8 / held_bytes)).cast("int").alias("blocks"))
+    holders = holders.join(passers, ["key", "size_class"]).withColumn("parts", F.ceil(F.col("n") / passing_rows).cast("int"))
+    holders = C.stage(holders, "holders")  # n: how many rows pass it
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = C.counted_join(rest.filter("holds").select("key", "size_class", "rep", "c"), holders, ["key", "size_class"])
+    held = held.select("key", "size_class", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), numbers("parts").alias("part"), F.lit(0).alias("passing"), "rep", "c")
+    passing = C.counted_join(rest.select("key", near("size_class").alias("size_class"), "rep", "c"), holders, ["key", "size_class"])
+    passing = passing.select("key", "size_class", numbers("blocks").alias("block"), F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("passing"), "rep", "c")
+    every = held.unionByName(passing)
     return streamed_links(every.join(sets, "rep").select("key", "size_class", "block", "part", "passing", "rep", "c", "s"), percent)
 
 
@@ -278,41 +278,42 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept."""
     docs = C.pick(docs, doc_id="long", text="string")
     base = C.stage(sketches(docs, k, bands, rows), "sketch")
+    with C.scratch(docs.sparkSession):
+        named = C.stage(_classes(docs, base, k, percent, part_bytes), "named", keep=True)
+    some = C.counted_join(base.filter("n_shingles > 0").select("doc_id", "n_shingles", "hi", "lo"), named, ["hi", "lo"])
+    none = base.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = some.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).unionByName(none)
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _classes(docs: DataFrame, base: DataFrame, k: int, percent: int, part_bytes: int) -> DataFrame:
+    """(hi, lo, n, component) of the classes of equal sets: how many rows a class has, and its component."""
     classes = base.filter("n_shingles > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"), F.count("*").alias("n"), F.min("keys").alias("keys"))
     classes = C.stage(classes, "classes")
     members = classes.filter("rep IS NOT NULL").select("rep", "size", F.explode("keys").alias("key"))
     shared = C.stage(members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
     live = C.stage(C.counted_join(members, shared, ["key"]), "live")  # (key, rep, size, n) of buckets with two members or more
-    comp = None
-    if not live.isEmpty():
-        met = C.stage(live.groupBy("rep").agg(F.sum("n").alias("met")), "met")
-        again = not base.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
-        sets = shingled(docs.join(met.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), k)
-        sets = C.stage(sets.distinct() if again else sets, "sets")
-        top = live.join(met, "rep").groupBy("key").agg(F.max(F.struct("met", (-F.col("rep")).alias("minus"), F.col("size").alias("of"))).alias("t"), F.max("n").alias("n"))
-        top = C.stage(top.select("key", "n", (-F.col("t.minus")).alias("centre"), F.col("t.of").alias("of")), "centres")
-        pairs = C.counted_join(live.drop("n"), top, ["key"]).filter("rep <> centre").filter(100 * F.least("size", "of") >= percent * F.greatest("size", "of"))
-        # a centre's rows go to parts of some bytes; of the parts that a pair's buckets would give it the least will do
-        part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") * F.col("of") * 8 / part_bytes))
-        pairs = C.stage(pairs.groupBy("centre", "rep").agg(F.min(part).alias("part")), "pairs")
-        links = C.stage(links_of_centres(pairs, sets, percent), "links")
-        comp = C.stage(components(links), "components")
-        label = C.stage(live.join(comp, "rep", "left").select("key", "rep", "size", F.coalesce("comp", "rep").alias("c")), "labels")
-        # a bucket of two has been compared; one inside a component is settled
-        torn = label.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).filter("lo <> hi AND n > 2").select("key", "n")
-        rest = C.stage(C.counted_join(label, C.stage(torn, "torn"), ["key"]).drop("n"), "rest")
-        if not rest.isEmpty():
-            comp = C.stage(components(links.unionByName(C.stage(settled_in_blocks(rest, sets, percent), "links"))), "components")
-    named = classes.select("hi", "lo", "rep", "n")
-    if comp is not None:
-        named = named.join(comp, "rep", "left").select("hi", "lo", "n", F.coalesce("comp", "rep").alias("component"))
-    else:
-        named = named.withColumnRenamed("rep", "component")
-    named = C.stage(named, "named")
-    some = C.counted_join(base.filter("n_shingles > 0").select("doc_id", "n_shingles", "hi", "lo"), named, ["hi", "lo"])
-    none = base.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = some.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).unionByName(none)
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    if live.isEmpty():
+        return classes.select("hi", "lo", "n", F.col("rep").alias("component"))
+    met = C.stage(live.groupBy("rep").agg(F.sum("n").alias("met")), "met")
+    again = not base.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    sets = shingled(docs.join(met.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), k)
+    sets = C.stage(sets.distinct() if again else sets, "sets")
+    top = live.join(met, "rep").groupBy("key").agg(F.max(F.struct("met", (-F.col("rep")).alias("minus"), F.col("size").alias("of"))).alias("t"), F.max("n").alias("n"))
+    top = C.stage(top.select("key", "n", (-F.col("t.minus")).alias("centre"), F.col("t.of").alias("of")), "centres")
+    pairs = C.counted_join(live.drop("n"), top, ["key"]).filter("rep <> centre").filter(100 * F.least("size", "of") >= percent * F.greatest("size", "of"))
+    # a centre's rows go to parts of some bytes; of the parts that a pair's buckets would give it the least will do
+    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") * F.col("of") * 8 / part_bytes))
+    pairs = C.stage(pairs.groupBy("centre", "rep").agg(F.min(part).alias("part")), "pairs")
+    links = C.stage(links_of_centres(pairs, sets, percent), "links")
+    comp = C.stage(components(links), "components")
+    label = C.stage(live.join(comp, "rep", "left").select("key", "rep", "size", F.coalesce("comp", "rep").alias("c")), "labels")
+    # a bucket of two has been compared; one inside a component is settled
+    torn = label.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).filter("lo <> hi AND n > 2").select("key", "n")
+    rest = C.stage(C.counted_join(label, C.stage(torn, "torn"), ["key"]).drop("n"), "rest")
+    if not rest.isEmpty():
+        comp = C.stage(components(links.unionByName(C.stage(settled_in_blocks(rest, sets, percent), "links"))), "components")
+    return classes.select("hi", "lo", "rep", "n").join(comp, "rep", "left").select("hi", "lo", "n", F.coalesce("comp", "rep").alias("component"))
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -325,11 +326,12 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A repeated row (equal id and text) stays once, but rows that have neither id nor words all stay.
     """
     key = C.row_key("doc_id", "text")
-    near = near_duplicates(docs.select(key.alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "n_shingles", "component_id").distinct()
-    who = docs.select(key.alias("key"), "doc_id").distinct()
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    named = C.stage(near.join(who, "key"), "named")
-    keep = C.stage(named.groupBy("component_id").agg(F.min(order)["key"].alias("_key"), F.max("n_shingles").alias("_n")).drop("component_id"), "keep")
+    with C.scratch(spark):
+        near = near_duplicates(docs.select(key.alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "n_shingles", "component_id").distinct()
+        who = docs.select(key.alias("key"), "doc_id").distinct()
+        order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+        named = C.stage(near.join(who, "key"), "named")
+        keep = C.stage(named.groupBy("component_id").agg(F.min(order)["key"].alias("_key"), F.max("n_shingles").alias("_n")).drop("component_id"), "keep", keep=True)
     own = docs.withColumn("_key", key)
     out = own.join(keep, "_key")
     again = own.groupBy("_key").agg(F.count("*").alias("n")).filter("n > 1").join(keep, "_key")

@@ -232,7 +232,8 @@ def with_surrogates(docs: DataFrame, key: str, broadcast_rows: int = 100_000) ->
     own = "_pii"
     while any(c.startswith(own) for c in docs.columns):
         own += "_"
-    salts = C.stage(salted(docs, key), "salts")
+    with C.scratch(docs.sparkSession):
+        salts = C.stage(salted(docs, key), "salts", keep=True)
     found = docs.withColumn(own, mentions(F.col("text")))
     salt_map = None
     if not salts.isEmpty():

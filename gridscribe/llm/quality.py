@@ -227,6 +227,11 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, per_label: int = 1500, lines_per_label: int = 100_000, seed: int = 8) -> Field | None:
     """Fit on the documents of about per_label labelled ids of each label (doc_id, label), drawn by a hash of the id."""
     C.bound_batches(docs.sparkSession)
+    with C.scratch(docs.sparkSession):
+        return _fitted(docs, labels, per_label, lines_per_label, seed)
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, per_label: int, lines_per_label: int, seed: int) -> Field | None:
     labels = labels.filter("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"))
     sizes = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
