@@ -50,7 +50,7 @@ def test_targets(spark, sizes, weights, total):
 
 def test_mix_brute_force(spark):
     odd = spark.createDataFrame(ODD, DOCS)
-    docs = C.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "source").unionByName(odd.select("doc_id", "text", "source"))
+    docs = C.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "source").limit(500).unionByName(odd.select("doc_id", "text", "source"))
     mixed = mixing.mix_sources(docs, block_tokens=16, shard_tokens=4096, carry=F.col("text"))
     rows = mixed.withColumn("new", mixing.mixed_text(F.col("carried"), F.col("size"), F.col("passes"), F.col("spans"))).collect()
     texts = docs.collect()

@@ -37,15 +37,13 @@ def family(n, shared, own, seed, sizes=(0,)):
 
 def test_hot_bucket_of_unlike_texts(spark, monkeypatch):
     """One bucket holds everything (two bands of one row), few pairs are links: held blocks and what passes them find exactly those."""
-    texts = family(60, 120, 40, 1, (0, 10, 60)) + family(40, 100, 34, 2) + [f"single {i} " * 9 for i in range(10)]
+    texts = family(50, 120, 40, 1, (0, 10, 60)) + family(30, 100, 34, 2) + [f"single {i} " * 9 for i in range(10)]
     base = [(i * 3 + 1, t) for i, t in enumerate(texts)]
-    got, want = both(spark, base, bands=2, rows=1)
-    assert got == want
     monkeypatch.setattr(C, "HOT_ROWS", 3)
     monkeypatch.setattr(C, "HOT_SHARE", 0.0)
     small = minhash.settled_in_blocks
     monkeypatch.setattr(minhash, "settled_in_blocks", lambda rest, sets, percent: small(rest, sets, percent, block=4, held_bytes=20_000, passing_rows=9))
-    got, _ = both(spark, base, bands=2, rows=1, part_bytes=3000)
+    got, want = both(spark, base, bands=2, rows=1, part_bytes=3000)
     assert got == want
 
 
