@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +74,12 @@ def pick(df: DataFrame, **kinds: str) -> DataFrame:
     return df.select(*(F.col(f"`{name}`").cast(kind).alias(name) for name, kind in kinds.items()))
 
 
+def apart(docs: DataFrame, *keep: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs whose other columns have names of their own, and what gives a DataFrame with these columns docs' names back."""
+    names = [c if c in keep else f"own_column_{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), lambda df: df.select(*names).toDF(*docs.columns)
+
+
 def row_key(doc_id: str, text: str) -> Column:
     """A 64-bit key of a row's id and text, null told from empty: equal rows alone share it (but for chance)."""
     return F.xxhash64(F.col(doc_id).isNull(), F.col(doc_id), F.col(text).isNull(), F.col(text))

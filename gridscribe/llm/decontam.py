@@ -109,12 +109,13 @@ def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decontam_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows that no benchmark item contaminates, each judged by its own text."""
+    docs, back = C.apart(docs, "doc_id", "text")
     key = C.row_key("doc_id", "text")
     with C.scratch(spark):
         found = contaminated(docs.select(key.alias("doc_id"), "text"), C.table(spark, sf_dir, "benchmark"))
         bad = C.stage(found.select(F.col("doc_id").alias("bad_key")).distinct(), "bad", keep=True)
     few = bad.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(bad) if few else bad, key == F.col("bad_key"), "left_anti")
+    return back(docs.join(F.broadcast(bad) if few else bad, key == F.col("bad_key"), "left_anti"))
 
 
 QUERIES = {"op9_decontam": op9_decontam}

@@ -325,6 +325,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A repeated row (equal id and text) stays once, but rows that have neither id nor words all stay.
     """
+    docs, back = C.apart(docs, "doc_id", "text")
     key = C.row_key("doc_id", "text")
     with C.scratch(spark):
         near = near_duplicates(docs.select(key.alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "n_shingles", "component_id").distinct()
@@ -336,9 +337,9 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = own.join(keep, "_key")
     again = own.groupBy("_key").agg(F.count("*").alias("n")).filter("n > 1").join(keep, "_key")
     if again.isEmpty():
-        return out.select(*docs.columns)
+        return back(out)
     bare = out.filter("_n = 0 AND doc_id IS NULL").select(*docs.columns)
-    return out.filter("_n > 0 OR doc_id IS NOT NULL").dropDuplicates(["_key"]).select(*docs.columns).unionByName(bare)
+    return back(out.filter("_n > 0 OR doc_id IS NOT NULL").dropDuplicates(["_key"]).select(*docs.columns).unionByName(bare))
 
 
 QUERIES = {"op5_minhash": op5_minhash}

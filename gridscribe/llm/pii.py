@@ -266,9 +266,12 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, entities replaced; n_chars is counted anew. An empty input gives no rows, a null text stays null."""
-    out = with_surrogates(docs.select(*(F.col(f"`{c}`") for c in docs.columns)), _key(spark))
-    out = out.select(*(F.col(f"`{c}`") for c in docs.columns))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    own, back = C.apart(docs, "text")
+    out = back(with_surrogates(own, _key(spark)))
+    if "n_chars" not in docs.columns:
+        return out
+    kind = docs.schema["n_chars"].dataType
+    return out.select(*(F.length("text").cast(kind).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
 
 QUERIES = {"op3_pii": op3_pii}

@@ -288,7 +288,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the field does not reject."""
-    return predict(docs, _field(spark, sf_dir)).filter("predicted = 1").drop("score", "predicted")
+    own, back = C.apart(docs, "text")
+    return back(predict(own, _field(spark, sf_dir)).filter("predicted = 1"))
 
 
 QUERIES = {"op8_quality": op8_quality}

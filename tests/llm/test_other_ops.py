@@ -376,7 +376,7 @@ def test_stages_on_odd_rows(spark, odd, tmp_path):
     """Null and empty texts, null and repeated ids, repeated rows, clashing extra columns, an empty table: all stages, one by one."""
     import corpus_pipeline
 
-    extra = ("key", "hits", "label", "score", "predicted", "digest", "component_id", "passes", "share")
+    extra = ("key", "hits", "label", "score", "predicted", "digest", "component_id", "passes", "share", "_key", "_n", "bad_key", "n_entities", "carried", "a b")
     wide = odd.select("*", F.lit(3).alias("n_chars"), *(F.lit("clash").alias(c) for c in extra if c not in odd.columns))
     for name, step in corpus_pipeline.STAGES:
         out = step(spark, wide, SMALL)
