@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SLOT_BITS = 22
+#: Rows of two numbers that are broadcast at most, so that texts needn't be shuffled to meet them; beyond it they are.
+BROADCAST_ROWS = 1 << 20
 _tables: dict[tuple[int, int], np.ndarray] = {}
 
 
@@ -297,7 +299,8 @@ def _classes(docs: DataFrame, base: DataFrame, k: int, percent: int, part_bytes:
         return classes.select("hi", "lo", "n", F.col("rep").alias("component"))
     met = C.stage(live.groupBy("rep").agg(F.sum("n").alias("met")), "met")
     again = not base.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
-    sets = shingled(docs.join(met.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), k)
+    reps = met.select(F.col("rep").alias("doc_id"))
+    sets = shingled(docs.join(F.broadcast(reps) if met.count() <= BROADCAST_ROWS else reps, "doc_id", "left_semi"), k)
     sets = C.stage(sets.distinct() if again else sets, "sets")
     top = live.join(met, "rep").groupBy("key").agg(F.max(F.struct("met", (-F.col("rep")).alias("minus"), F.col("size").alias("of"))).alias("t"), F.max("n").alias("n"))
     top = C.stage(top.select("key", "n", (-F.col("t.minus")).alias("centre"), F.col("t.of").alias("of")), "centres")
@@ -334,8 +337,9 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         named = C.stage(near.join(who, "key"), "named")
         keep = C.stage(named.groupBy("component_id").agg(F.min(order)["key"].alias("_key"), F.max("n_shingles").alias("_n")).drop("component_id"), "keep", keep=True)
     own = docs.withColumn("_key", key)
-    out = own.join(keep, "_key")
-    again = own.groupBy("_key").agg(F.count("*").alias("n")).filter("n > 1").join(keep, "_key")
+    kept = F.broadcast(keep) if keep.count() <= BROADCAST_ROWS else keep
+    out = own.join(kept, "_key")
+    again = own.groupBy("_key").agg(F.count("*").alias("n")).filter("n > 1").join(kept, "_key")
     if again.isEmpty():
         return back(out)
     bare = out.filter("_n = 0 AND doc_id IS NULL").select(*docs.columns)
