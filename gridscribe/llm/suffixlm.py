@@ -165,35 +165,35 @@ def frequent(df: DataFrame, count: str, most: int) -> DataFrame:
 
 
 class Lookup:
-    """A hash table of 64-bit keys with float values, read by arrays of keys."""
+    """64-bit keys with float values in the order of their hashes, read by arrays of keys.
+
+    The driver sorts once; a task takes the arrays as they are broadcast and holds nothing beside them.
+    """
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 4))))
-        self.keys, self.values, self.full = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits), np.zeros(1 << self.bits, bool)
-        left, slot = np.arange(len(keys)), self._slot(keys)
-        while len(left):
-            free = left[~self.full[slot[left]]]
-            own, first = np.unique(slot[free], return_index=True)
-            put = free[first]
-            self.keys[own], self.values[own], self.full[own] = keys[put], values[put], True
-            left = np.setdiff1d(left, put, assume_unique=True)
-            slot[left] = slot[left] + 1 & (1 << self.bits) - 1
+        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys))))))
+        slot = self._slot(keys)
+        order = np.argsort(slot, kind="stable")
+        self.keys, self.values = keys[order], values[order]
+        # where the keys of each slot begin
+        self.begins = np.searchsorted(slot[order], np.arange((1 << self.bits) + 1, dtype=np.int32)).astype(np.int32)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (C.mix(keys) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return (C.mix(keys) >> np.uint64(64 - self.bits)).astype(np.int32)
 
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(found, value or 0)."""
+        found, value = np.zeros(len(keys), bool), np.zeros(len(keys))
         slot = self._slot(keys)
-        found = (self.keys[slot] == keys) & self.full[slot]
-        value = np.where(found, self.values[slot], 0.0)
-        left = np.flatnonzero(~found & self.full[slot])
+        at, end = self.begins[slot], self.begins[slot + 1]
+        left = np.flatnonzero(at < end)
         while len(left):
-            slot[left] = slot[left] + 1 & (1 << self.bits) - 1
-            at = slot[left]
-            hit = self.full[at] & (self.keys[at] == keys[left])
-            found[left[hit]], value[left[hit]] = True, self.values[at[hit]]
-            left = left[~hit & self.full[at]]
+            own = at[left]
+            hit = self.keys[own] == keys[left]
+            found[left[hit]], value[left[hit]] = True, self.values[own[hit]]
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < end[left]]
         return found, value
 
 
@@ -242,11 +242,10 @@ def score(docs: DataFrame, model: Model, hot_words: int = 1 << 18, hot_grams: in
     grams = frequent(model.levels[depth], "n", hot_grams).select("code", "lp").toArrow()
     key, count = (top[c].to_numpy().astype(np.int64) for c in ("key", "c"))
     code, lp = grams["code"].to_numpy().astype(np.int64).view(np.uint64), grams["lp"].to_numpy().astype(float)
-    shared = spark.sparkContext.broadcast((key, np.log10((count + 1) / (n + v + 1)), code, lp))
+    shared = spark.sparkContext.broadcast((Lookup(key.view(np.uint64), np.log10((count + 1) / (n + v + 1))), Lookup(code, lp)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, gain, code, lp = shared.value
-        word_table, gram_table = Lookup(key.view(np.uint64), gain), Lookup(code, lp)
+        word_table, gram_table = shared.value
         for batch in batches:
             n_tokens, known, base, score, rare, rare_at, missed, missed_at = [], [], [], [], [], [], [], []
             for _, rows, offsets, data in C.text_blocks(batch.column("text")):

@@ -98,3 +98,26 @@ def test_every_context_that_passes_is_kept(spark):
 def test_held_out_text_beats_the_base(spark):
     rows = suffixlm.op6_suffixlm(spark, "/root/testdata/sf0.1").filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert rows[0] > rows[1]
+
+
+def test_a_task_holds_no_more_than_the_table(spark):
+    """Tables of 2**20 grams took 70 MB in every task, and three times that while they were built there."""
+    import pickle
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    keys = np.unique(np.append(rng.integers(0, 2**63, 200_000, dtype=np.uint64), [np.uint64(0), np.uint64(2**64 - 1)]))
+    values = rng.random(len(keys))
+    sent = pickle.dumps(suffixlm.Lookup(keys, values))
+    assert len(sent) < 26 * len(keys)
+    tracemalloc.start()
+    table = pickle.loads(sent)
+    assert tracemalloc.get_traced_memory()[1] < 52 * len(keys)
+    tracemalloc.stop()
+    found, value = table.get(keys)
+    assert found.all() and (value == values).all()
+    others = np.setdiff1d(rng.integers(0, 2**63, 1000, dtype=np.uint64), keys)
+    found, value = table.get(others)
+    assert not found.any() and not value.any()
+    found, _ = suffixlm.Lookup(keys[:0], values[:0]).get(others)
+    assert not found.any()
