@@ -196,7 +196,7 @@ def strategy_stats(spark, d):
 
 def compression_ratio(spark, d):
     t = tables(spark, d, *NAMES)
-    return S.compression_ratio(S.schema_counts(t), S.passage_counts(S.serialize(t, "compress")))
+    return S.compression_ratio(S.schema_counts(t), S.compress_counts(t))
 
 
 def ratio_sorted(spark, d):
